@@ -10,7 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def findable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it (on a cluster: the shared install, or --py-files)."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    now = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in now.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (here, now) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,3 +97,25 @@ def fit_platt(x, y, balanced: bool = False, steps: int = 200) -> tuple[float, fl
         if np.abs(d).max() < 1e-9:
             break
     return float(w[0] / scale), float(w[1])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialise() that nothing depends on any more."""
+    jvm, path = df.sparkSession.sparkContext._jvm, df.inputFiles()
+    if path:
+        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key with more than 1/HEAVY of all rows is heavy.
+HEAVY = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with one row a key. Keys with more than 1/HEAVY of all rows (so fewer than HEAVY) are broadcast, the others shuffled."""
+    columns = [c for c in unique.columns if c not in (key, count)]
+    heavy = unique.filter(F.col(count) * HEAVY > total).select(F.col(key).alias("_hk"), F.struct(*columns).alias("_hv"))
+    first = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    hot = first.filter("_hk is not null").select(*rows.columns, *[F.col(f"_hv.{c}").alias(c) for c in columns])
+    cold = first.filter("_hk is null").drop("_hk", "_hv").join(unique.filter(F.col(count) * HEAVY <= total), key)
+    return hot.unionByName(cold.select(*rows.columns, *columns))

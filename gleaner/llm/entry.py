@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, language, packing, quality, secrets, sharding, toxicity
+from gleaner.llm import ann, decontaminate, extract, language, neardup, packing, quality, secrets, sharding, toxicity
 from gleaner.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -30,17 +34,34 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ann_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_sharding, op5_decontamination, op6_secret_scan, op8_quality, op10_packing)}
+    found = (
+        op1_language_id, op2_toxicity, op3_simhash_near_dedup, op4_sharding, op5_decontamination, op6_secret_scan,
+        op7_html_extraction, op8_quality, op9_ann_additive, op10_packing, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_secret_scan": secrets.oracle()}
+    return {"op4_sharding": sharding.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_secret_scan": secrets.oracle(), "op9_ann_additive": ann.ORACLE}

@@ -8,7 +8,7 @@ sqrt(2 * total bytes) rows, as distinct positive sizes add up to at most the tot
 The cuts are then (size, rank inside that size) pairs, at most one a shard. Ranks are needed only in the sizes
 that a cut splits; they, and the gapless slots, are numbered in two levels (bucket counts, then a row number
 inside a bucket), so that no task gets a whole size or shard. A group of copies that holds much of the rows
-is met by a broadcast of the heavy groups (fewer than HEAVY by construction), not by one task of a join.
+is met by a broadcast of the heavy groups (a bounded number), not by one task of a join.
 
 Defined results. Null text: size 1 and crc32 0, all null texts in one group, apart from empty ones (size 1 too).
 Repeated rows and null ids: each row has its own slot. Empty table: no rows. One group larger than an even
@@ -21,11 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import materialise
+from gleaner.llm.common import join_unique, materialise
 
 SHARDS = 8
-#: A group with more than 1/HEAVY of all rows is heavy.
-HEAVY = 1000
 #: Rows that one numbering bucket should have.
 BUCKET_ROWS = 50_000
 
@@ -110,12 +108,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for i, rank in cuts:
         at = runs[i][0]
         number = number + F.when((F.col("gsize") < at) | ((F.col("gsize") == at) & (F.col("rank") >= rank)), 1).otherwise(0)
-    placed = placed.select(F.col("digest").alias("_d"), "n", number.cast("int").alias("shard"))
-    heavy = placed.filter(F.col("n") * HEAVY > total).select(F.col("_d").alias("_hd"), F.col("shard").alias("_hs"))
-    first = rows.join(F.broadcast(heavy), F.col("digest") == F.col("_hd"), "left")
-    out = first.filter("_hs is not null").select("doc_id", "size", "text_crc32", "digest", F.col("_hs").alias("shard"))
-    rest = first.filter("_hs is null").join(placed.filter(F.col("n") * HEAVY <= total), F.col("digest") == F.col("_d")).select("doc_id", "size", "text_crc32", "digest", "shard")
-    out = out.unionByName(rest)
+    placed = placed.select("digest", "n", number.cast("int").alias("shard"))
+    out = join_unique(rows, placed, "digest", "n", total)
     id_digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     order = [F.col("_idd"), F.col("doc_id"), F.col("digest")]
     out = numbered(out.withColumn("_idd", id_digest), ["shard"], order, hex_bucket(F.col("_idd"), buckets), buckets * shards, "slot")
