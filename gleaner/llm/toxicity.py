@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fit_platt, id_crc, labelled_sample, logistic
 
-SAMPLE, MAX_WORDS, MIN_DF, EPOCHS = 4000, 20_000, 3, 4
+SAMPLE, MAX_WORDS, MIN_DF, EPOCHS = 2500, 20_000, 3, 4
 ALPHA, BETA, L1, L2, SWAP = 0.3, 1.0, 4.0, 1.0, 4.0
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -62,25 +62,26 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def train(rows: list[tuple[list[str], int]], identity=IDENTITY, swap: float = SWAP, epochs: int = EPOCHS) -> dict:
-    """Word weights and intercept from (distinct words, label)."""
+def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, epochs: int = EPOCHS) -> dict:
+    """Word weights and intercept from (distinct words joined by blanks, label)."""
     import numpy as np
 
     labels = [y for _, y in rows]
     if len(set(labels)) < 2:
         return {"fixed": float(labels[0]) if labels else 0.0}
-    feats = [features(ws) for ws, _ in rows]
     df: Counter = Counter()
-    for f in feats:
-        df.update(f.keys())
+    for ws, _ in rows:
+        df.update(features(ws.split()).keys())
     kind_of = {t: kind for kind in identity for t in kind}
     vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in df.items() if n >= min(MIN_DF, max(1, len(rows) // 4)) or w in kind_of))}
     for t in kind_of:
         vocab.setdefault(t, len(vocab) + 1)
-    pairs = [sorted((vocab[w], v) for w, v in f.items() if w in vocab) for f in feats]
-    x = [np.array([0, *(i for i, _ in ps)]) for ps in pairs]
-    v = [np.array([1.0, *(u for _, u in ps)]) for ps in pairs]
-    ids = [[vocab[w] for w in sorted(ws) if w in kind_of] for ws, _ in rows]
+    x, v, ids = [], [], []  # compact arrays: the driver holds the sample's features
+    for ws, _ in rows:
+        pairs = sorted((vocab[w], u) for w, u in features(ws.split()).items() if w in vocab)
+        x.append(np.array([0, *(i for i, _ in pairs)], np.int32))
+        v.append(np.array([1.0, *(u for _, u in pairs)], np.float32))
+        ids.append([vocab[w] for w in ws.split() if w in kind_of])
     others = {vocab[t]: [vocab[u] for u in kind if u != t] for t, kind in kind_of.items()}
     z, n = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     l1 = np.full(len(vocab) + 1, L1)
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(ws[i]) for i in keep], pa.string()), pa.array([batch.column("label")[i].as_py() for i in keep], pa.int32())], names=["words", "label"])
 
     got = rows.select("text", "label").mapInArrow(run, "words string, label int").distinct().collect()  # at most about 2 * sample rows
-    return train(sorted((r["words"].split(), r["label"]) for r in got))
+    return train(sorted((r["words"], r["label"]) for r in got))
 
 
 def score_text(text: str | None, model: dict) -> float:
