@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import blocks, headers, robots
+from gleaner.functions import blocks, headers, records, robots
 from gleaner.functions.dialect import Duck, Spark
 from gleaner.operators import steps
 from gleaner.plans.registry import query
@@ -88,3 +88,27 @@ def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment, CAST(approx AS BIGINT) AS n_nations, round(most, 2) AS most FROM (SELECT c_mktsegment, count(DISTINCT c_nationkey) AS approx, max(c_acctbal) AS most FROM customer GROUP BY c_mktsegment)")
 def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("n_nations"), F.round(F.max("c_acctbal"), 2).alias("most"))
+
+
+@query("SELECT l_orderkey, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS n_flagged, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS best, arg_min(l_linenumber, l_linenumber) AS first FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey")
+def order_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of alternatives (the lines of an order): flagged ones, the best, the first as given."""
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_returnflag") == "R").alias("flag"), F.col("l_quantity").alias("score")))).alias("xs"))
+    x = F.col("xs")
+    return rows.select("l_orderkey", F.size(records.flagged(x, "flag")).cast("long").alias("n_flagged"), F.get(records.by_score(x), F.lit(0))["l_linenumber"].alias("best"), records.first_alternative(x)["l_linenumber"].alias("first"))
+
+
+@query("SELECT page_id, (url LIKE '%example%' AND NOT url LIKE 'http://%' ) OR instr(html, 'zzzz') > 0 AS holds FROM pages")
+def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumns({"text": F.col("html"), "selectors": F.array(F.lit("a")), "ok": F.lit(True)})
+    tree = {"any": [{"all": [{"url_has": "example"}, {"not": {"url_glob": "http://*"}}, {"selector": "a"}, {"previous": True}]}, {"text_has": "zzzz"}]}
+    return p.select("page_id", records.condition(tree).alias("holds"))
+
+
+@query("SELECT o_custkey, CAST(sum(1) AS BIGINT) AS calls, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 0 END) AS BIGINT) AS urgent, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_tools FROM orders GROUP BY o_custkey")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage records merged: counts summed, maps of tool calls summed by tool."""
+    u = table(spark, sf_dir, "orders").select("o_custkey", F.lit(1).alias("calls"), F.create_map("o_orderpriority", F.lit(2)).alias("tools"))
+    m = records.merge_usage(u, "o_custkey", ["calls"], "tools")
+    return m.select("o_custkey", "calls", F.coalesce(F.try_element_at("tools", F.lit("1-URGENT")), F.lit(0)).cast("long").alias("urgent"), F.size("tools").cast("long").alias("n_tools"))
