@@ -139,11 +139,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["done"], F.substr(t, acc["at"] + 1, F.length(t))))
     dirty = F.size("secret_spans") > 0
-    cols = {"text": F.when(dirty, clean).otherwise(t)}
+    out = s.withColumn("text", F.when(dirty, clean).otherwise(t))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cols["n_chars"] = F.when(dirty, F.length(clean).cast(kind)).otherwise(F.col("n_chars"))
-    return s.withColumns(cols).drop("secret_spans")
+        out = out.withColumn("n_chars", F.when(dirty, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("secret_spans")
 
 
 def _runs(pattern: str, kind: int, value: str = "") -> str:
