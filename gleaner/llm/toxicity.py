@@ -44,14 +44,16 @@ IDENTITY = (
 
 
 PREFIXES = (4, 6)
+TERMS = frozenset(t for kind in IDENTITY for t in kind)
 
 
 def features(words, known=None) -> dict[str, float]:
     """Feature values of a set of words; only the `known` features, if given."""
     out = {w: 1.0 for w in words if known is None or w in known}
     n: Counter = Counter()
+    longer = [w for w in words if w not in TERMS]  # a group's name counts as itself alone, so swaps can level it
     for k in PREFIXES:
-        for w in words:
+        for w in longer:
             if len(w) > k and (known is None or w[:k] + "*" in known):
                 n[w[:k] + "*"] += 1
     out.update((p, math.log2(1 + c)) for p, c in n.items())
