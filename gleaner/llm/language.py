@@ -29,10 +29,10 @@ MOD, OUT = 5, 0
 
 @lru_cache(maxsize=1)
 def letters():
-    """For each code point below 0x30000: whether it is a letter."""
+    """For each code point below 0x33500 (no letters beyond): whether it is a letter."""
     import numpy as np
 
-    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
+    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x33500)])
 
 
 def grams(text: str | None):
