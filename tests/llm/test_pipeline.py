@@ -1,13 +1,20 @@
 """Each stage of the pipeline keeps what it should and the columns of documents."""
 
+import random
+
 import corpus_pipeline
 
 
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("aeiklmnorstu") for _ in range(r.randint(3, 7))) for _ in range(n))
+
+
 def test_stages(spark, tmp_path):
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    plain = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 0) for i in range(60)]
+    plain = [(i, words(i, 60), "en", "s", 0) for i in range(60)]
     docs = [(a, b, c, d, len(b)) for a, b, c, d, _ in plain]
-    docs += [(100 + i, f"some text number {i} with zonk in it and more of m{i}", "en", "s", 50) for i in range(30)]
+    docs += [(100 + i, words(500 + i, 40) + " zonk", "en", "s", 50) for i in range(30)]
     docs += [(200, docs[0][1], "en", "s", 1), (201, docs[1][1] + " extra", "en", "s", 1), (202, "so " + bench + " then", "en", "s", 1), (203, "note token = 0123456789abcdef0123456789 end of it", "en", "s", 1), (None, None, None, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
