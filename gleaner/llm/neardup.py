@@ -284,6 +284,18 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+FILTER_BITS = 24
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows that may have a rid among the wanted ones: a bit map of 2^FILTER_BITS places, so at most 2^(FILTER_BITS - 6) rows of 64 bits are broadcast, whatever the input."""
+    place = F.col("rid").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    inside = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.groupBy(F.shiftright(place, 6).alias("_g")).agg(F.bit_or(inside).alias("_bits"))
+    near = rows.join(F.broadcast(bits), F.shiftright(place, 6) == F.col("_g"))
+    return near.filter(F.getbit("_bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_g", "_bits")
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, raw (digest of the text), class_id, class_key and n_links of every row of docs. n_links: links of its text to different texts."""
     sims = [f"s{j}" for j in range(BITS // 64)]
@@ -299,7 +311,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pairs = pairs.join(x, "a").join(y, "b").filter((apart <= NEAR256) & (F.least("xn", "yn") >= (similar - 0.01) * F.greatest("xn", "yn")))
     pairs = materialise(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    sets = with_sets.filter("n > 0").select(rid.alias("rid"), "sh").join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("sh").alias("sh"))
+    all_sets = with_sets.filter("n > 0").select(rid.alias("rid"), "sh")
+    # No semi join after it: the optimizer would move that below the filter and shuffle all sets. The few sets too many meet no pair.
+    sets = maybe_in(all_sets, wanted).groupBy("rid").agg(F.first("sh").alias("sh"))
     sets = materialise(sets)
     links = materialise(jaccard_links(pairs, sets, similar))
     for done in (with_sets, sets, pairs):
