@@ -18,6 +18,7 @@ pieces. Empty table: no rows. Sequence ids are unique, not gapless: (task or mer
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,6 +33,13 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?&$#%*|()-]*)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, grp long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words(dict):
     """Ids (32-bit little-endian bytes) of pieces of text between blanks."""
 
@@ -40,23 +48,28 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.model, self.by_byte = self.tokenizer.model, byte_letters()
 
     def ask(self, text: str) -> bytes:
-        import numpy as np
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def ask_letters(self, word: str) -> bytes:
+        """Of lower-case Latin letters alone: nothing to normalise or split, so the merges are asked at once."""
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.by_byte))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def part(self, text: str) -> bytes:
+    def part(self, text: str, letters: bool) -> bytes:
         got = self.parts.get(text)
         if got is None:
             if len(self.parts) >= MAX_KNOWN:
                 self.parts.clear()
-            got = self.parts[text] = self.ask(text)
+            got = self.parts[text] = self.ask_letters(text) if letters else self.ask(text)
         return got
 
     def __missing__(self, word: str) -> bytes:
         m = PLAIN.fullmatch(word) if len(word) <= 64 else None
-        ids = (self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")) if m else self.ask(word)
+        ids = (self.part(m[1].lower(), True) + (self.part(m[2], False) if m[2] else b"")) if m else self.ask(word)
         if len(self) >= MAX_KNOWN:
             self.clear()
         if len(word) <= 64:
