@@ -32,8 +32,8 @@ def window_hash(ws: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(ws, at + i) for i in range(length)])
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(distinct windows: wid, w_len, w_hash, w_text), (wid, item), and the lengths that occur (at most `window`)."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
+    """Distinct windows (w_len, w_hash, w_text, items), and the lengths that occur (at most `window`)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws"))
     items = items.withColumn("n", F.size("ws")).filter("n > 0").withColumn("w_len", F.least("n", F.lit(window)))
     at = items.select("item", "ws", "w_len", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w_len"))).alias("at"))
@@ -43,13 +43,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     for k in lengths:
         hashed = F.when(F.col("w_len") == k, window_hash(F.col("w"), F.lit(0), k)).otherwise(hashed)
     at = at.select("item", "w_len", hashed.alias("w_hash"), F.array_join("w", " ").alias("w_text"))
-    at = at.withColumn("wid", F.md5(F.col("w_text").cast("binary")))
-    return at.groupBy("wid", "w_len", "w_hash", "w_text").agg(F.lit(1).alias("_one")).drop("_one"), at.select("wid", "item").distinct(), lengths
+    # One row a distinct window, with the items that have it.
+    return at.groupBy("w_len", "w_hash", "w_text").agg(F.collect_set("item").alias("items")), lengths
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, digest of the text, n_words, hit word positions (0-based), items whose windows occur."""
-    wins, owners, lengths = benchmark_windows(benchmark, window)
+    wins, lengths = benchmark_windows(benchmark, window)
     n_wins = wins.count()
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     base = base.select("_id", F.md5(F.coalesce(F.col("_text"), F.lit("\0null")).cast("binary")).alias("_digest"), words(F.col("_text")).alias("_ws"))
@@ -66,20 +66,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     probe = step.withColumn("_pos", pos)
     probe = probe.select("_id", "_digest", "_n", "_pos", k.alias("_len"), h.alias("_hash"), "_ws")
     small = F.broadcast(wins) if n_wins <= MAX_BROADCAST_WINDOWS else wins
-    hit = probe.join(small, (F.col("_hash") == F.col("w_hash")) & (F.col("_len") == F.col("w_len")), "left").filter("_pos < 0 or wid is not null")
+    hit = probe.join(small, (F.col("_hash") == F.col("w_hash")) & (F.col("_len") == F.col("w_len")), "left").filter("_pos < 0 or w_hash is not null")
     same = F.array_join(F.slice("_ws", F.col("_pos") + 1, F.greatest("_len", F.lit(1))), " ") == F.col("w_text")
-    hit = hit.select("_id", "_digest", "_n", "_pos", "_len", "wid", F.when(F.col("_pos") < 0, F.lit(True)).otherwise(same).alias("_ok")).filter("_ok")
+    hit = hit.select("_id", "_digest", "_n", "_pos", "_len", "items", F.when(F.col("_pos") < 0, F.lit(True)).otherwise(same).alias("_ok")).filter("_ok")
     grouped = hit.groupBy("_id", "_digest").agg(
         F.max("_n").alias("n_words"), F.count(F.when(F.col("_pos") < 0, 1)).alias("_rows"),
-        F.collect_set(F.when(F.col("_pos") >= 0, F.struct("_pos", "_len"))).alias("_hits"), F.collect_set("wid").alias("_wids"))
+        F.collect_set(F.when(F.col("_pos") >= 0, F.struct("_pos", "_len"))).alias("_hits"), F.collect_set("items").alias("_items"))
     positions = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["_pos"], x["_pos"] + x["_len"] - 1)))))
     grouped = grouped.withColumn("hit_positions", positions)
-    clean = grouped.filter(F.size("_wids") == 0).withColumn("items", F.expr("cast(array() as array<string>)"))
-    dirty = grouped.filter(F.size("_wids") > 0)
-    named = dirty.select("_id", "_digest", "n_words", "_rows", "_hits", "_wids", "hit_positions", F.explode("_wids").alias("wid"))
-    few = F.broadcast(owners) if n_wins <= MAX_BROADCAST_WINDOWS else owners
-    named = named.join(few, "wid").groupBy("_id", "_digest").agg(F.first("n_words").alias("n_words"), F.first("_rows").alias("_rows"), F.first("_hits").alias("_hits"), F.first("_wids").alias("_wids"), F.first("hit_positions").alias("hit_positions"), F.array_sort(F.collect_set("item")).alias("items"))
-    out = clean.unionByName(named).select(F.col("_id").alias(id_col), F.col("_digest").alias("text_digest"), "n_words", "hit_positions", "items", "_rows")
+    items = F.array_sort(F.array_distinct(F.flatten("_items")))
+    out = grouped.select(F.col("_id").alias(id_col), F.col("_digest").alias("text_digest"), "n_words", "hit_positions", items.alias("items"), "_rows")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).drop("_copy", "_rows")
 
 
