@@ -66,7 +66,7 @@ def encode(x, books, beam: int = BEAM):
     for m in range(levels):
         step = norms[m][None, None, :] - 2 * dots[:, m, None, :]
         for j in range(m):
-            step = step + 2 * gram[j * k + codes[:, :, j]][:, :, m * k : (m + 1) * k]
+            step = step + 2 * gram[:, m * k : (m + 1) * k][j * k + codes[:, :, j]]
         total = (cost[:, :, None] + step).reshape(n, -1)
         keep = min(beam, total.shape[1])
         best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
@@ -92,9 +92,13 @@ def train(x, lists: int, seed: int = 3) -> dict:
         rest = rest - c[np.argmin((c * c).sum(1) - 2 * (rest @ c.T), axis=1)]
     books = np.stack(books)
     for _ in range(ROUNDS):
-        codes = encode(x, books)
-        chosen = np.concatenate([one_hot(codes[:, a], k) for a in range(LEVELS)], axis=1)
-        books = np.linalg.solve(chosen.T @ chosen + 1e-3 * len(x) / k * np.eye(LEVELS * k), chosen.T @ x).reshape(books.shape)
+        gram, right = 1e-3 * len(x) / k * np.eye(LEVELS * k), np.zeros((LEVELS * k, x.shape[1]))
+        for at in range(0, len(x), 1024):  # in blocks: the driver's memory is bounded
+            part = x[at : at + 1024]
+            codes = encode(part, books)
+            chosen = np.concatenate([one_hot(codes[:, a], k) for a in range(LEVELS)], axis=1)
+            gram, right = gram + chosen.T @ chosen, right + chosen.T @ part
+        books = np.linalg.solve(gram, right).reshape(books.shape)
     return {"books": books, "centres": kmeans(x, lists, rng)}
 
 
