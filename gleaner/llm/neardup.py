@@ -7,7 +7,8 @@
    threshold.
 3. Inside a bucket, candidates are pairs whose first 64 bits differ in at most NEAR64 places. An oversized bucket
    is capped: texts within TIGHT64 of a leader link to it alone, and what stays is split by additional sampled bits,
-   several times over so that recall is kept. Buckets are streamed, so memory is bounded whatever their size.
+   several times over so that recall is kept. Buckets are streamed, so memory is bounded whatever their size: one
+   beyond STREAM rows goes in blocks, each of which meets itself and all earlier ones (work is quadratic there).
 4. Candidates are verified: distance of the whole SimHash first, then the exact Jaccard similarity of the shingle
    sets (32-bit hashes), which alone decides: SIMILAR or more is a link.
 5. Classes are the connected components of the links (alternating stars, in the shared folder; nothing is collected).
@@ -173,9 +174,48 @@ def bucket_pairs(ids, h, seed: int = 1):
     return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
+def near_pairs(h, other=None) -> Iterator:
+    """Every pair (positions) of h, or of h and other, within NEAR64; in tiles of CAP x CAP."""
+    import numpy as np
+
+    for at in range(0, len(h), CAP):
+        block = h[at : at + CAP]
+        for start in range(at if other is None else 0, len(h if other is None else other), CAP):
+            near = np.bitwise_count(block[:, None] ^ (h if other is None else other)[None, start : start + CAP]) <= NEAR64
+            i, j = np.nonzero(np.triu(near, 1) if other is None and start == at else near)
+            if len(i):
+                yield np.stack([i + at, j + start], 1)
+
+
 STREAM = 20_000
 
 
+class Blocks:
+    """Blocks of (rid, h) of the bucket that is streamed, in a file: memory holds two of them, and no row is left out."""
+
+    def __init__(self):
+        import tempfile
+
+        self.file, self.sizes = tempfile.TemporaryFile(), []
+
+    def add(self, rid, h) -> None:
+        self.file.seek(0, 2)
+        self.file.write(rid.tobytes() + h.tobytes())
+        self.sizes.append(len(rid))
+
+    def __iter__(self) -> Iterator:
+        import numpy as np
+
+        self.file.seek(0)
+        for n in self.sizes:
+            yield np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(8 * n), np.uint64)
+
+    def clear(self) -> None:
+        self.file.seek(0)
+        self.file.truncate()
+        self.sizes = []
+
+
 def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
     """Distinct candidate pairs a < b of representatives (rid, s0..s3)."""
     k, tables = design(n, similar)
@@ -201,6 +241,10 @@ def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def batch_of(p):
+            p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+
         def found(key, rid, h):
             out = []
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -214,27 +258,39 @@ def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
             for s, m in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
                 p = bucket_pairs(rid[s : s + m], h[s : s + m], int(key[s] >> 48))
                 out.append(np.stack([rid[s + p[:, 0]], rid[s + p[:, 1]]], 1))
-            p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+            yield batch_of(np.concatenate(out) if out else np.zeros((0, 2), np.int64))
+
+        def block(rid, h):
+            """Pairs of a block of the streamed bucket, with itself and with each earlier block."""
+            for p in near_pairs(h):
+                yield batch_of(rid[p])
+            for old, g in blocks:
+                for p in near_pairs(h, g):
+                    yield batch_of(np.stack([rid[p[:, 0]], old[p[:, 1]]], 1))
 
+        blocks, open_key = Blocks(), None  # open_key: of the bucket that has blocks
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [batch.column("key").to_numpy(), batch.column("rid").to_numpy(), batch.column("h").to_numpy().view(np.uint64)]
             held = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+            if open_key is not None and (end := int(np.searchsorted(held[0], open_key, "right"))) < len(held[0]):
+                yield from block(held[1][:end], held[2][:end])  # the streamed bucket ends
+                blocks.clear()
+                held, open_key = [x[end:] for x in held], None
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
             if last:
-                yield found(*(x[:last] for x in held))
+                yield from found(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
             if len(held[0]) > STREAM:
-                # A bucket beyond STREAM rows: its pairs so far go out, and leaders (spread by their bits) stand for them.
-                yield found(*held)
-                order = np.argsort(held[2])[:: max(1, len(held[0]) // (STREAM // 4))]
-                held = [x[order] for x in held]
+                # A bucket beyond STREAM rows: this block meets itself and all earlier ones, and is kept for the later ones.
+                open_key = held[0][0]
+                yield from block(held[1], held[2])
+                blocks.add(held[1], held[2])
+                held = [x[:0] for x in held]
         if len(held[0]):
-            yield found(*held)
+            yield from block(held[1], held[2]) if open_key is not None else found(*held)
 
     keyed = reps.select("rid", *sims).mapInArrow(keys, "key long, rid long, h long")
     return keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(pairs, "a long, b long").distinct()

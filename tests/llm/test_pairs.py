@@ -90,6 +90,24 @@ def test_oversized_buckets_lose_no_class(dense):
         assert np.mean([find(i) == find(i + 1) for i in range(0, n, 2)]) > 0.98
 
 
+def test_streamed_bucket_drops_no_row(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "STREAM", 200)
+    monkeypatch.setattr(neardup, "design", lambda n, similar=0.8: (1, 1))
+    r = np.random.default_rng(3)
+    # One sampled bit, so two buckets of about 3,000; the partner of a row differs in its highest bit: far away in the order of h.
+    s = r.integers(-(2**63), 2**63, (6000, 4))
+    s[3000:] = s[:3000]
+    s[3000:, 0] ^= np.int64(-(2**63))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        reps = spark.createDataFrame([(i, *map(int, v)) for i, v in enumerate(s)], "rid long, s0 long, s1 long, s2 long, s3 long")
+        # Batches run in other processes: the small STREAM goes with the function.
+        got = {(a, b) for a, b in neardup.candidates(reps, 6000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(i, i + 3000) for i in range(3000)} <= got
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (200, 200), (5, 5)]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
