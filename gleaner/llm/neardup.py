@@ -5,10 +5,9 @@
 2. Each of TABLES tables groups the representatives by `k` sampled coordinates of the SimHash. k grows with the
    logarithm of their number, so that buckets of unrelated texts stay small, and TABLES follows k for RECALL at the
    threshold.
-3. Inside a bucket, candidates are pairs whose first 64 bits differ in at most NEAR64 places. An oversized bucket
-   is capped: texts within TIGHT64 of a leader link to it alone, and what stays is split by additional sampled bits,
-   several times over so that recall is kept. Buckets are streamed, so memory is bounded whatever their size: one
-   beyond STREAM rows goes in blocks, each of which meets itself and all earlier ones (work is quadratic there).
+3. Inside a bucket, candidates are all pairs whose first 64 bits differ in at most NEAR64 places, whatever its size.
+   Work is quadratic in a bucket; one beyond STREAM rows goes in blocks, each of which meets itself and all earlier
+   ones, so memory is bounded. A group of m near-copies has up to m * m / 2 links, and none is left out.
 4. Candidates are verified: distance of the whole SimHash first, then the exact Jaccard similarity of the shingle
    sets (32-bit hashes), which alone decides: SIMILAR or more is a link.
 5. Classes are the connected components of the links (alternating stars, in the shared folder; nothing is collected).
@@ -133,7 +132,11 @@ def bit_counts(x):
 
 
 def bucket_pairs(ids, h, seed: int = 1):
-    """Candidate pairs (positions) of one bucket: exact where it has at most CAP texts; see the module's text for larger ones."""
+    """Few candidate pairs (positions) that connect one bucket's bits; exact where it has at most CAP texts.
+
+    candidates() doesn't use it: in a larger bucket, texts within TIGHT64 of a leader meet the leader alone, and a link
+    that fails its exact check there can't be made up for.
+    """
     import numpy as np
 
     n = len(ids)
@@ -256,8 +259,11 @@ def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
                 i = i[bit_counts(h[i] ^ h[i + lag]) <= NEAR64]
                 out.append(np.stack([rid[i], rid[i + lag]], 1))
             for s, m in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-                p = bucket_pairs(rid[s : s + m], h[s : s + m], int(key[s] >> 48))
-                out.append(np.stack([rid[s + p[:, 0]], rid[s + p[:, 1]]], 1))
+                for p in near_pairs(h[s : s + m]):
+                    out.append(rid[s + p])
+                if sum(map(len, out)) > 1_000_000:  # dense buckets have many pairs
+                    yield batch_of(np.concatenate(out))
+                    out = []
             yield batch_of(np.concatenate(out) if out else np.zeros((0, 2), np.int64))
 
         def block(rid, h):

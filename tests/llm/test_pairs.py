@@ -108,6 +108,14 @@ def test_streamed_bucket_drops_no_row(spark, monkeypatch):
     assert {(i, i + 3000) for i in range(3000)} <= got
 
 
+def test_members_of_a_dense_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "design", lambda n, similar=0.8: (1, 1))
+    n = neardup.CAP + 500
+    rows = [(i, i % 4, 0, 0, 0) for i in range(n)]  # all within 2 bits of each other
+    got = neardup.candidates(spark.createDataFrame(rows, "rid long, s0 long, s1 long, s2 long, s3 long"), n).count()
+    assert got == n * (n - 1) // 2
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (200, 200), (5, 5)]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
