@@ -11,7 +11,8 @@ page layouts, with the answer known; none of the input is used. The gradient is
 the expectation from the same messages.
 
 Defined results. Null or empty html, and pages without main text: empty text, 0. Unclosed, stray and misnested tags
-are read as browsers do in the common cases (implied ends of p, li, table parts; stray ends are ignored). Character
+are read as browsers do in the common cases (implied ends of p, li, table parts; stray ends are ignored). Scripts and
+the like end at their own end tag alone; excluded elements (button, svg, ...) at theirs or their parent's. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by one line end. Repeated
 rows and null ids or urls: each row by itself. Extra columns are left aside.
 """
@@ -30,7 +31,15 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]++|<", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas title select button".split())
+#: Their content is characters up to their own end tag, so nothing inside is read as a tag.
+RAW = frozenset("script style textarea noscript iframe title".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: Excluded elements with content of tags; they end with their own end tag or with their parent.
+EXCLUDED = frozenset("template svg math object canvas select button".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Start tags that end svg and math, as in browsers, but inside POINTS.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre s small span strong strike sub sup table tt u ul var".split())
+POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var ins del br wbr img nobr center input".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("tr td th thead tbody tfoot", ("table",)), "option": ("option", ("select",))}
@@ -95,7 +104,9 @@ def parse(html: str) -> list[Node]:
     nodes = [Node(-1, ["t:root"])]
     stack: list[tuple[str, int, int | None]] = [("", 0, None)]
     run: list[str] = []
-    linked, in_link, skip = 0, False, ""
+    linked, in_link = 0, False
+    inline: list[str] = []  # open since the last block border
+    inner: list[str] = []  # open from an excluded element on
     open_count: dict[str, int] = {}
 
     def flush() -> None:
@@ -104,33 +115,59 @@ def parse(html: str) -> list[Node]:
             text = " ".join(unescape("".join(run)).split())
             run.clear()
             if text:
-                _, at, y = stack[-1]
-                nodes.append(Node(at, leaf_features(text, linked), text, y))
+                _, parent, y = stack[-1]
+                nodes.append(Node(parent, leaf_features(text, linked), text, y))
         linked = 0
+        inline.clear()
 
     def pop() -> None:
         open_count[stack.pop()[0]] -= 1
 
-    for m in TOKEN.finditer(html):
+    at = 0
+    while at < len(html):
+        m = TOKEN.match(html, at)
+        at = m.end()
         tag = m[2] or m[5]
-        if skip:
-            if tag and (m[1] or m[4]) and tag.lower() == skip:
-                skip = ""
-            continue
         if not tag:
             s = m[0]
-            if s[0] == "<" and len(s) > 1:
+            if inner or (s[0] == "<" and len(s) > 1):
                 continue
             run.append(s)
             if in_link:
                 linked += len(s)
             continue
         tag, end, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if tag in RAW:
+        if inner:
+            if end:
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                if not open_count.get(tag) and tag not in inline:
+                    continue
+                inner.clear()  # the end of a parent
+            elif tag in BREAKOUT and (foreign := FOREIGN.intersection(inner)) and not POINTS.intersection(inner):
+                del inner[min(map(inner.index, foreign)) :]
+            elif tag in ("select", "input", "textarea") and "select" in inner:
+                del inner[inner.index("select") :]
+                if tag == "select":
+                    continue
+            elif tag == "button" and tag in inner:
+                del inner[inner.index(tag) :]
+        if tag in RAW and not (inner and tag == "title" and FOREIGN.intersection(inner)):
             if not end and not attrs.endswith("/"):
-                skip = tag
+                close = RAW_END[tag].search(html, at)
+                at = close.end() if close else len(html)
+            continue
+        if inner or tag in EXCLUDED:
+            if not end and not attrs.endswith("/") and tag not in VOID:
+                inner.append(tag)
             continue
         if tag in INLINE:
+            if not end and tag not in VOID:
+                inline.append(tag)
+            elif end and tag in inline:
+                inline.remove(tag)
             if tag == "a":
                 in_link = not end
             elif tag in ("br", "img", "wbr", "input"):

@@ -98,6 +98,14 @@ def test_extraction(html, text):
     assert extract.text_of(html, MODEL) == text
 
 
+@pytest.mark.parametrize("odd", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>a='<!--';</SCRIPT >", "<style>a<b{}</style>", "<textarea><p</textarea>", "<div><button>buy</div>", "<div><select><option>x</div>", "<div><canvas><b>x</div>",
+    "<div><object><param name=a></div>", "<div><svg><path d='M0'></div>", "<svg><path d='M0'><p></p>", "<a href=x><svg><use></a>", "<svg><title>icon<path></svg>", "<object><div>no</div><svg><g/></svg>x</object>", "<div><button>a<button>b</div>",
+])
+def test_excluded_elements_drop_nothing_else(odd):
+    assert extract.text_of(f"<body>{odd}<article><h1>T</h1><p>Some words of text here</p><p>more of the text</p></article></body>", MODEL) == "T\nSome words of text here\nmore of the text"
+
+
 def test_extraction_on_layouts_not_learned_from():
     right = total = 0
     for html in extract.pages_labelled(120, seed=77):
