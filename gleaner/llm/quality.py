@@ -4,8 +4,8 @@ A text is cut into blocks, each is compressed with either dictionary, and the di
 the text's length becomes a score through a logistic curve fitted on labelled texts that made no dictionary.
 Every block of a text counts, so a long text is scored as a whole and in bounded memory.
 
-Limits of what is learned from (documented parameters, for the classifier alone): about SAMPLE labelled texts a
-class, of at most MAX_CHARS characters each.
+Limit of what is learned from (a documented parameter, for the classifier alone): about SAMPLE labelled texts a class,
+each with all its segments whatever its length.
 
 Defined results. Null and empty texts: the score at difference 0. Labels of one class or none: score 1 (only good),
 0 (only bad) or 0.5. Repeated rows and null ids: each row by itself. Extra columns are left aside.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fit_platt, id_crc, labelled_sample, logistic
 
-SAMPLE, MAX_CHARS = 2500, 100_000
+SAMPLE = 2500
 DICT_BYTES, SEGMENT, BLOCK, LEVEL = 112_640, 1024, 2048, 3
 THRESHOLD = 0.5
 
@@ -33,8 +33,7 @@ def make_dictionary(texts: list[str]) -> bytes:
     pieces = []
     for t in texts:
         e = t.encode("utf-8", "surrogatepass")
-        pieces += [e[i : i + SEGMENT] for i in range(0, min(len(e), 4 * SEGMENT), SEGMENT)]
-    pieces = [p for p in pieces if p]
+        pieces += [e[i : i + SEGMENT] for i in range(0, len(e), SEGMENT)]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, pieces)) // 2)), pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -59,8 +58,8 @@ def difference(text: str | None, good: bytes, bad: bytes) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
-    rows = labelled_sample(docs, labels, label, sample).filter(F.length("text") <= MAX_CHARS)
-    got = sorted((int(r["label"]), r["text"]) for r in rows.select("text", "label").distinct().collect())  # at most about 2 * sample texts
+    rows = labelled_sample(docs, labels, label, sample)
+    got = sorted((int(r["label"]), r["text"]) for r in rows.select("text", "label").distinct().collect())  # at most about 2 * sample texts, whole
     both = {k: [t for y, t in got if y == k] for k in (0, 1)}
     if not both[0] or not both[1]:
         return {"fixed": 1.0 if both[1] else 0.0 if both[0] else 0.5}

@@ -65,6 +65,16 @@ def test_classifiers(spark, tables, report, column, least):
     assert len({r["score"] for r in report(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_quality_learns_from_whole_texts(spark):
+    r = random.Random(5)
+    words = lambda kind, n: " ".join("".join(r.choice(SYL[kind]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    heads = [words("aa", 1500) for _ in range(60)]
+    good, bad = (quality.make_dictionary([h + " " + words(kind, 1500) for h in heads]) for kind in ("aa", "bb"))
+    assert min(map(len, heads)) > 4096 and quality.difference(words("bb", 300), good, bad) < -0.05 < quality.difference(words("aa", 300), good, bad)
+    docs = spark.createDataFrame([(i, heads[i] if i % 2 else "tsch ung " * 12_000) for i in range(40)], "doc_id long, text string")
+    assert "fixed" not in quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality"))
+
+
 def test_identity_swaps_do_not_move_scores():
     model = toxicity.train(sorted((" ".join(sorted(toxicity.words_of(r[1]))), r[4]) for r in made()))
     for kind in toxicity.IDENTITY:
