@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names of helper columns that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name += "_"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset and all runs on one machine, as in tests) one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = os.path.join(tempfile.gettempdir(), f"gleaner-{os.getpid()}")
         os.makedirs(found, exist_ok=True)

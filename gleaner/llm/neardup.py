@@ -1,23 +1,27 @@
 """SimHash near-duplicates by random bit sampling.
 
-1. Each text becomes its set of five-word shingles (lower-cased words; a shorter text is one shingle) and a SimHash
-   of BITS bits over them. Texts with equal words are copies: they share a digest and one representative.
-2. Each of TABLES tables groups the representatives by `k` sampled coordinates of the SimHash. k grows with the
-   logarithm of their number, so that buckets of unrelated texts stay small, and TABLES follows k for RECALL at the
-   threshold.
-3. Inside a bucket, candidates are all pairs whose first 64 bits differ in at most NEAR64 places, whatever its size.
-   Work is quadratic in a bucket; one beyond STREAM rows goes in blocks, each of which meets itself and all earlier
-   ones, so memory is bounded. A group of m near-copies has up to m * m / 2 links, and none is left out.
-4. Candidates are verified: distance of the whole SimHash first, then the exact Jaccard similarity of the shingle
-   sets (32-bit hashes), which alone decides: SIMILAR or more is a link.
-5. Classes are the connected components of the links (alternating stars, in the shared folder; nothing is collected).
-
-Recall is that of the hashing (RECALL or better at similarity 0.8, near 1 above 0.9); precision is exact.
+1. Each text becomes its set of five-word shingles (lower-cased words; a shorter text is one shingle) and a SimHash of
+   BITS bits over them. Texts of equal words have equal SimHashes; from here on each distinct SimHash goes once.
+2. Each of several tables groups the SimHashes by `k` sampled coordinates. k grows with the logarithm of their number,
+   so buckets of unrelated texts hold about BUCKET rows, and the tables follow k: a pair at the very threshold shares
+   a bucket in one of them with probability RECALL.
+3. A bucket beyond CAP rows is split by additional sampled bits, as often as RECALL asks for.
+4. Distances are verified inside the bucket, on all bits: at most FAR of BITS places differ (a similarity of SIMILAR or
+   more). Nothing else decides, and no pair is shuffled before it. A bucket gives a spanning forest of its links, so m
+   near-copies cost m rows, not m * m / 2; texts already known to be of one class aren't compared again.
+5. A group of near-copies may hold a third of all texts. A bounded sample finds such groups; a text near their leader
+   is linked to it at once, and the group's rows in a bucket are spread over slices, each of which meets all other rows
+   of the bucket. So no task holds a hot group, and no comparison is left out.
+6. Classes are the connected components of the links (alternating stars, in the shared folder; nothing is collected).
+
+The similarity is that of the method: the share of equal SimHash places, an estimate of 1 - angle / pi of the shingle
+sets. 0.8 of it lies near a Jaccard similarity of 0.68, give or take 0.07 for the noise of BITS bits.
 
 Defined results. Null text: alone. Texts without a word: copies where the text is equal. Repeated rows and null ids:
 a row each; the class id is the least id of the class (null if all are). In `keep_one` the row of the least id stays
 (of equal ids, the least text digest; of equal rows, one); rows of a class without ids: the least digest. Extra
-columns are kept by `keep_one`. Empty table: no rows.
+columns, of any name, are kept by `keep_one`. A long text costs time and memory in proportion to its words. Ties of a
+SimHash place (as many ones as zeros) are broken by a hash of the whole set. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import discard, join_unique, materialise
+from gleaner.llm.common import discard, fresh, join_unique, materialise
 
 SHINGLE, SIMILAR, BITS, RECALL = 5, 0.8, 256, 0.99
-LEAST_K, BUCKET = 16, 64
-NEAR64, TIGHT64, NEAR256, CAP, SPLIT_BITS = 20, 4, 60, 1024, 6
+FAR = int(BITS * (1 - SIMILAR) + 1e-9)
+#: Of the 64 bits that are looked at first, so many may differ: 3.5 standard deviations beyond what FAR means there.
+NEAR64 = 24
+BUCKET, CAP, TILE, WIDE = 8192, 65_536, 256, 1024
+#: Sample that tells hot groups: those of SHOWN or more of its members.
+SAMPLE, SHOWN = 4096, 8
 WORD = re.compile(r"[^\W_]+")
 MASK = (1 << 64) - 1
+SIMS = [f"s{j}" for j in range(BITS // 64)]
 
 
 class WordHash(dict):
@@ -79,150 +88,184 @@ def shingles(text: str):
     return words, np.unique(mixed(h, n))
 
 
+def planes(sh):
+    """BITS hash bits of each shingle, as BITS / 8 bytes."""
+    import numpy as np
+
+    return np.stack([mixed(sh, 100 + j) for j in range(BITS // 64)], 1).view(np.uint8).reshape(len(sh), BITS // 8)
+
+
 def simhash(sh):
     """BITS bits as BITS / 8 bytes."""
     import numpy as np
 
-    planes = np.stack([mixed(sh, 100 + j) for j in range(BITS // 64)], 1).view(np.uint8).reshape(len(sh), BITS // 8)
-    counts = np.bincount((planes + (np.arange(BITS // 8, dtype=np.int64) << 8)).ravel(), minlength=BITS // 8 * 256).reshape(-1, 256)
-    ones = counts @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-    return np.packbits((2 * ones > len(sh)).astype(np.uint8).ravel())
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(sh), 1 << 16):  # in parts: a very long text takes no more memory
+        part = planes(sh[at : at + (1 << 16)])
+        counts = np.bincount((part + (np.arange(BITS // 8, dtype=np.int64) << 8)).ravel(), minlength=BITS // 8 * 256).reshape(-1, 256)
+        ones += (counts @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)).ravel()
+    bits = 2 * ones > len(sh)
+    if len(sh) % 2 == 0:
+        ties = np.unpackbits(planes(np.bitwise_xor.reduce(sh)[None])[0]) == 1
+        bits |= (2 * ones == len(sh)) & ties
+    return np.packbits(bits.astype(np.uint8))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, s0..s3 (the SimHash), n (shingles), sh (sorted 32-bit shingle hashes) of every row; n is 0 without words."""
+    """doc_id, raw (digest of the text) and key of every row: the SimHash; the digest for texts without words; null for null texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
-        from hashlib import md5
-
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            digests, sims, ns, shs = [], [], [], []
-            for t in batch.column("text"):
-                t = t.as_py()
-                words, sh = shingles(t or "")
-                # Null texts get no digest: each stays alone.
-                digests.append(None if t is None else md5((" ".join(words) if words else "\0" + t).encode("utf-8", "surrogatepass")).hexdigest())
-                sims.append(simhash(sh) if len(sh) else np.zeros(BITS // 8, np.uint8))
-                ns.append(len(sh))
-                shs.append(np.unique((sh >> np.uint64(32)).astype("<u4")).tobytes())
-            longs = np.concatenate(sims).view("<i8").reshape(-1, BITS // 64) if sims else np.zeros((0, BITS // 64), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("raw"), pa.array(digests, pa.string()), *(pa.array(np.ascontiguousarray(longs[:, j])) for j in range(BITS // 64)), pa.array(ns, pa.int32()), pa.array(shs, pa.binary())],
-                names=["doc_id", "raw", "digest", *(f"s{j}" for j in range(BITS // 64)), "n", "sh"])
-
-    sims = ", ".join(f"s{j} long" for j in range(BITS // 64))
-    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("raw"), "text").mapInArrow(run, f"doc_id {kind}, raw string, digest string, {sims}, n int, sh binary")
-
-
-def design(n: int, similar: float = SIMILAR) -> tuple[int, int]:
-    """Sampled coordinates a table, and tables, for n texts."""
-    k = max(LEAST_K, math.ceil(math.log2(max(2, n) / BUCKET)))
-    agree = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
-    return k, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**k))
-
-
-def bit_counts(x):
+            keys = []
+            for raw, t in zip(batch.column("raw"), batch.column("text"), strict=True):
+                sh = shingles(t.as_py() or "")[1]
+                keys.append(simhash(sh).tobytes() if len(sh) else raw.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(keys, pa.binary())], names=["doc_id", "raw", "key"])
+
+    return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("raw"), "text").mapInArrow(run, f"doc_id {kind}, raw binary, key binary")
+
+
+def design(n: int) -> tuple[int, int]:
+    """Sampled coordinates a table, and tables, for n SimHashes."""
+    k = max(1, math.ceil(math.log2(max(2, n) / BUCKET)))
+    return k, repeats(k)
+
+
+def repeats(k: int) -> int:
+    """Tables of k sampled coordinates until a pair at distance FAR meets with probability RECALL."""
+    together = math.comb(BITS - FAR, k) / math.comb(BITS, k)
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - together))
+
+
+def distance(x, y):
     import numpy as np
 
-    return np.bitwise_count(x).astype(np.int64)
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def bucket_pairs(ids, h, seed: int = 1):
-    """Few candidate pairs (positions) that connect one bucket's bits; exact where it has at most CAP texts.
+def union(label, i, j):
+    """Labels after joining i[n] with j[n] for all n, and which n did join two classes: a spanning forest. A label is the least in its class."""
+    import numpy as np
 
-    candidates() doesn't use it: in a larger bucket, texts within TIGHT64 of a leader meet the leader alone, and a link
-    that fails its exact check there can't be made up for.
-    """
+    used, at = [], np.arange(len(i))
+    while True:
+        a, b = label[i[at]], label[j[at]]
+        at, a, b = at[a != b], a[a != b], b[a != b]
+        if not len(at):
+            return label, np.concatenate(used) if used else at
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        used.append(at[first])
+        parent = np.arange(int(label.max()) + 1)
+        parent[high] = np.minimum(a, b)[first]
+        while len(np.flatnonzero(parent != (up := parent[parent]))):
+            parent = up
+        label = parent[label]
+
+
+def bucket_links(s, label=None, word: int = 0, seed: int = 1):
+    """Spanning forest (positions i, j) of the pairs of s (rows of 64-bit words) within FAR, given that rows of equal labels are linked already."""
     import numpy as np
 
-    n = len(ids)
-    if n < 2:
-        return np.zeros((0, 2), np.int64)
-    if n <= CAP:
-        i, j = np.nonzero(np.triu(bit_counts(h[:, None] ^ h[None, :]) <= NEAR64, 1))
-        return np.stack([i, j], 1)
-    left, out = np.arange(n), []
-    while len(left) > CAP:
-        d = bit_counts(h[left] ^ h[left[0]])
-        near = left[(d <= NEAR64)]
-        out.append(np.stack([np.full(len(near) - 1, left[0]), near[near != left[0]]], 1))
-        keep = d > TIGHT64
-        if keep.sum() > len(left) - 2:  # nothing is dense here: split by additional bits instead
-            break
-        left = left[keep]
-    if len(left) > CAP:
-        rng = np.random.default_rng(seed)
-        agree = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-        bits = SPLIT_BITS + max(0, math.ceil(math.log2(len(left) / (CAP << SPLIT_BITS))))
-        for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))):
-            places = rng.choice(64, bits, replace=False)
-            key = np.zeros(len(left), np.int64)
-            for b in places:
-                key = (key << 1) | ((h[left] >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
+    m = len(s)
+    label = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
+    out = []
+    if m > CAP:
+        # Additional bits: rows that agree in them form the smaller buckets, once for each of several choices of bits.
+        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(m, -1), axis=1)
+        rng, more = np.random.default_rng(seed), math.ceil(math.log2(m / CAP)) + 2
+        for r in range(repeats(more)):
+            key = bits[:, rng.choice(BITS, more, replace=False)] @ (1 << np.arange(more, dtype=np.int64))
             order = np.argsort(key, kind="stable")
-            for part in np.split(left[order], np.flatnonzero(np.diff(key[order])) + 1):
-                for at in range(0, len(part), CAP):
-                    block = part[at : at + CAP]
-                    for other in range(at, len(part), CAP):
-                        i, j = np.nonzero(bit_counts(h[block][:, None] ^ h[part[other : other + CAP]][None, :]) <= NEAR64)
-                        out.append(np.stack([block[i], part[other + j]], 1))
-    elif len(left) > 1:
-        i, j = np.nonzero(np.triu(bit_counts(h[left][:, None] ^ h[left][None, :]) <= NEAR64, 1))
-        out.append(np.stack([left[i], left[j]], 1))
-    pairs = np.concatenate(out)
-    return pairs[pairs[:, 0] != pairs[:, 1]]
-
-
-def near_pairs(h, other=None) -> Iterator:
-    """Every pair (positions) of h, or of h and other, within NEAR64; in tiles of CAP x CAP."""
+            for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                now = label[part]
+                if now.min() < now.max():
+                    i, j = tiles(s[part], now, (word + r) % s.shape[1])
+                    label, used = union(label, part[i], part[j])
+                    out.append(np.stack([part[i][used], part[j][used]]))
+    else:
+        out.append(np.stack(tiles(s, label, word)))
+    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def tiles(s, label, word: int):
+    """The same, for a bucket of any size, by comparing tile by tile; tiles of one class are passed over."""
     import numpy as np
 
-    for at in range(0, len(h), CAP):
-        block = h[at : at + CAP]
-        for start in range(at if other is None else 0, len(h if other is None else other), CAP):
-            near = np.bitwise_count(block[:, None] ^ (h if other is None else other)[None, start : start + CAP]) <= NEAR64
-            i, j = np.nonzero(np.triu(near, 1) if other is None and start == at else near)
+    order = np.argsort(label, kind="stable")
+    s, label, out = s[order], np.unique(label[order], return_inverse=True)[1], [np.zeros((2, 0), np.int64)]
+    h = np.ascontiguousarray(s[:, word])
+    for at in range(0, len(s), TILE):
+        for start in range(at, len(s), WIDE):
+            a, b = label[at : at + TILE], label[start : start + WIDE]
+            if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
+                continue
+            near = (np.bitwise_count(h[at : at + TILE, None] ^ h[None, start : start + WIDE]) <= NEAR64) & (a[:, None] != b[None, :])
+            i, j = np.nonzero(near)
             if len(i):
-                yield np.stack([i + at, j + start], 1)
+                i, j = i + at, j + start
+                close = distance(s[i], s[j]) <= FAR
+                label, used = union(label, i[close], j[close])
+                out.append(np.stack([i[close][used], j[close][used]]))
+    found = np.concatenate(out, axis=1)
+    return order[found[0]], order[found[1]]
 
 
-STREAM = 20_000
+def longs(keys):
+    """32-byte keys (an Arrow array) as rows of four 64-bit words."""
+    import numpy as np
 
+    return np.frombuffer(b"".join(k.as_py() for k in keys), np.uint64).reshape(-1, BITS // 64)
 
-class Blocks:
-    """Blocks of (rid, h) of the bucket that is streamed, in a file: memory holds two of them, and no row is left out."""
 
-    def __init__(self):
-        import tempfile
+def blobs(s):
+    """The other way."""
+    import numpy as np
+    import pyarrow as pa
 
-        self.file, self.sizes = tempfile.TemporaryFile(), []
+    s = np.ascontiguousarray(s)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(s), [None, pa.py_buffer(s.tobytes())]).cast(pa.binary())
 
-    def add(self, rid, h) -> None:
-        self.file.seek(0, 2)
-        self.file.write(rid.tobytes() + h.tobytes())
-        self.sizes.append(len(rid))
 
-    def __iter__(self) -> Iterator:
-        import numpy as np
+def hot_leaders(nodes: DataFrame, n: int, sample: int = SAMPLE, shown: int = SHOWN):
+    """(words, group) of the leaders of groups that hold `shown` or more of a sample of about `sample` nodes; their balls cover those."""
+    import numpy as np
 
-        self.file.seek(0)
-        for n in self.sizes:
-            yield np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(8 * n), np.uint64)
+    spread = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 40))
+    few = nodes.filter(spread < math.ceil((1 << 40) * min(1.0, sample / max(1, n)))).select("key").orderBy("key").limit(2 * sample).collect()
+    s = np.frombuffer(b"".join(bytes(r["key"]) for r in few), np.uint64).reshape(-1, BITS // 64)
+    near = np.zeros((len(s), len(s)), bool)
+    for i in range(len(s)):
+        near[i] = distance(s[i], s) <= FAR
+    left, chosen = np.ones(len(s), bool), []
+    while len(s):
+        degree = (near & left).sum(axis=1) * left
+        best = int(np.argmax(degree))
+        if degree[best] < shown:
+            break
+        chosen.append(best)
+        left &= ~near[best]
+    i, j = np.nonzero(near[np.ix_(chosen, chosen)])
+    return s[chosen], union(np.arange(len(chosen)), i, j)[0]
 
-    def clear(self) -> None:
-        self.file.seek(0)
-        self.file.truncate()
-        self.sizes = []
 
+def ball_of(s, leaders, group):
+    """For each row of s: the position of a leader within FAR, or -1; and its group."""
+    import numpy as np
+
+    at = np.full(len(s), -1)
+    for k in range(len(leaders) - 1, -1, -1):
+        at[distance(s, leaders[k]) <= FAR] = k
+    return at, np.where(at < 0, -1, np.append(group, -1)[at])
 
-def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """Distinct candidate pairs a < b of representatives (rid, s0..s3)."""
-    k, tables = design(n, similar)
-    sims = [f"s{j}" for j in range(BITS // 64)]
+
+def links(nodes: DataFrame, n: int) -> DataFrame:
+    """Verified links (a, b) of nodes (key: SimHashes, each once) that connect all classes."""
+    k, tables = design(n)
+    leaders, group = hot_leaders(nodes, n)
 
     def keys(batches: Iterator) -> Iterator:
         import numpy as np
@@ -233,95 +276,72 @@ def candidates(reps: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
         weights = (1 << np.arange(k, dtype=np.int64))[::-1]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                s = np.stack([part.column(c).to_numpy() for c in sims], 1)
-                bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(len(s), BITS // 8), axis=1)
-                key = np.stack([(bits[:, c] @ weights) | (t << 48) for t, c in enumerate(sampled)], 1)
-                rid = part.column("rid").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(rid, tables)), pa.array(np.repeat(s[:, 0], tables))], names=["key", "rid", "h"])
-
-    def pairs(batches: Iterator) -> Iterator:
+                s = longs(batch.column("key").slice(at, 2000))
+                ball = ball_of(s, leaders, group)[1].astype(np.int32)
+                bits = np.unpackbits(s.view(np.uint8).reshape(len(s), -1), axis=1)
+                key = np.stack([(bits[:, c] @ weights) | (t << 44) for t, c in enumerate(sampled)], 1)
+                words = [pa.array(np.repeat(s[:, j].view(np.int64), tables)) for j in range(s.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ball, tables)), *words], names=["bucket", "ball", *SIMS])
+
+    def found(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def batch_of(p):
-            p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
-
-        def found(key, rid, h):
-            out = []
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(starts, len(key)))
-            run = np.repeat(sizes, sizes)
-            place = np.arange(len(key)) - np.repeat(starts, sizes)
-            for lag in range(1, min(32, int(sizes.max(initial=1)))):  # small buckets, all at once
-                i = np.flatnonzero((run <= 32) & (place + lag < run))
-                i = i[bit_counts(h[i] ^ h[i + lag]) <= NEAR64]
-                out.append(np.stack([rid[i], rid[i + lag]], 1))
-            for s, m in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-                for p in near_pairs(h[s : s + m]):
-                    out.append(rid[s + p])
-                if sum(map(len, out)) > 1_000_000:  # dense buckets have many pairs
-                    yield batch_of(np.concatenate(out))
-                    out = []
-            yield batch_of(np.concatenate(out) if out else np.zeros((0, 2), np.int64))
-
-        def block(rid, h):
-            """Pairs of a block of the streamed bucket, with itself and with each earlier block."""
-            for p in near_pairs(h):
-                yield batch_of(rid[p])
-            for old, g in blocks:
-                for p in near_pairs(h, g):
-                    yield batch_of(np.stack([rid[p[:, 0]], old[p[:, 1]]], 1))
-
-        blocks, open_key = Blocks(), None  # open_key: of the bucket that has blocks
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        def of(key, slot, ball, s):
+            starts = np.flatnonzero((np.append(True, key[1:] != key[:-1])) | np.append(True, slot[1:] != slot[:-1]))
+            a, b = [np.zeros((0, BITS // 64), np.uint64)], [np.zeros((0, BITS // 64), np.uint64)]
+            for at, end in zip(starts, np.append(starts[1:], len(key)), strict=True):
+                if end - at > 1:
+                    part = s[at:end]
+                    known = np.where(ball[at:end] >= 0, ball[at:end], np.arange(end - at) + len(leaders))
+                    i, j = bucket_links(part, known, int(key[at] >> 44) % (BITS // 64))
+                    a.append(part[i])
+                    b.append(part[j])
+            return pa.RecordBatch.from_arrays([blobs(np.concatenate(a)), blobs(np.concatenate(b))], names=["a", "b"])
+
+        held: list = []  # (bucket, slot, ball, words) of the batches whose last bucket may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column("key").to_numpy(), batch.column("rid").to_numpy(), batch.column("h").to_numpy().view(np.uint64)]
-            held = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-            if open_key is not None and (end := int(np.searchsorted(held[0], open_key, "right"))) < len(held[0]):
-                yield from block(held[1][:end], held[2][:end])  # the streamed bucket ends
-                blocks.clear()
-                held, open_key = [x[end:] for x in held], None
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
-            if last:
-                yield from found(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-            if len(held[0]) > STREAM:
-                # A bucket beyond STREAM rows: this block meets itself and all earlier ones, and is kept for the later ones.
-                open_key = held[0][0]
-                yield from block(held[1], held[2])
-                blocks.add(held[1], held[2])
-                held = [x[:0] for x in held]
-        if len(held[0]):
-            yield from block(held[1], held[2]) if open_key is not None else found(*held)
-
-    keyed = reps.select("rid", *sims).mapInArrow(keys, "key long, rid long, h long")
-    return keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(pairs, "a long, b long").distinct()
-
-
-def jaccard_links(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (rid, sh) have that similarity or more."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
+            s = np.stack([batch.column(c).to_numpy() for c in SIMS], 1).view(np.uint64)
+            now = [batch.column("bucket").to_numpy(), batch.column("slot").to_numpy(), batch.column("ball").to_numpy(), s]
+            held.append(now)
+            if (now[0][-1], now[1][-1]) != (held[0][0][0], held[0][1][0]):
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = int(np.flatnonzero((whole[0] != now[0][-1]) | (whole[1] != now[1][-1]))[-1]) + 1
+                yield of(*(x[:last] for x in whole))
+                held = [[x[last:] for x in whole]]
+        if held:
+            yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def to_leader(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            a, b = [], []
-            for i, j, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
-                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both >= similar * (len(p) + len(q) - both) and both:
-                    a.append(i.as_py())
-                    b.append(j.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    x = sets.select(F.col("rid").alias("a"), F.col("sh").alias("x"))
-    y = sets.select(F.col("rid").alias("b"), F.col("sh").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            s = longs(batch.column("key"))
+            at = ball_of(s, leaders, group)[0]
+            yield pa.RecordBatch.from_arrays([blobs(s[at >= 0]), blobs(leaders[at[at >= 0]])], names=["a", "b"])
+
+    def among(i: int, j: int) -> bool:
+        return group[i] == group[j] and int(distance(leaders[i], leaders[j])) <= FAR
+
+    keyed = nodes.select("key").mapInArrow(keys, "bucket long, ball int, " + ", ".join(f"{c} long" for c in SIMS))
+    slot = F.lit(0)
+    if len(leaders):
+        # Hot groups alone: their rows in a bucket beyond CAP are spread over slices, and all other rows of the bucket go to each.
+        hot = keyed.filter("ball >= 0").groupBy("bucket", "ball").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CAP)
+        hot = hot.groupBy("bucket").agg(F.max(F.struct("n", "ball")).alias("m")).select(F.col("bucket").alias("_b"), F.col("m.ball").alias("_ball"), F.ceil(F.col("m.n") / CAP).cast("int").alias("_slots"))
+        if not (hot := materialise(hot)).isEmpty():
+            keyed = keyed.join(hot, F.col("bucket") == F.col("_b"), "left")
+            own = F.array(F.pmod(F.xxhash64(*SIMS), F.col("_slots")).cast("int"))
+            slot = F.explode(F.when(F.col("_b").isNull(), F.array(F.lit(0))).when(F.col("ball") == F.col("_ball"), own).otherwise(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    keyed = keyed.select("bucket", slot.alias("slot"), "ball", *SIMS)
+    out = keyed.repartition("bucket", "slot").sortWithinPartitions("bucket", "slot").mapInArrow(found, "a binary, b binary")
+    if len(leaders):
+        out = out.unionByName(nodes.select("key").mapInArrow(to_leader, "a binary, b binary"))
+        near = [(bytearray(leaders[i].tobytes()), bytearray(leaders[j].tobytes())) for i in range(len(leaders)) for j in range(i) if among(i, j)]
+        out = out.unionByName(nodes.sparkSession.createDataFrame(near, "a binary, b binary"))
+    return out
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -329,11 +349,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     seen = None
     for _ in range(rounds):
+        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")).select("u", F.least("u", "m").alias("m"), "_rows")
+        large = join_unique(both.filter("v > u"), least, "u", "_rows", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+        small = join_unique(large, low, "u", "_rows", total)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         old, edges = edges, materialise(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
@@ -346,66 +367,36 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-FILTER_BITS = 24
-
-
-def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows that may have a rid among the wanted ones: a bit map of 2^FILTER_BITS places, so at most 2^(FILTER_BITS - 6) rows of 64 bits are broadcast, whatever the input."""
-    place = F.col("rid").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    inside = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    bits = wanted.groupBy(F.shiftright(place, 6).alias("_g")).agg(F.bit_or(inside).alias("_bits"))
-    near = rows.join(F.broadcast(bits), F.shiftright(place, 6) == F.col("_g"))
-    return near.filter(F.getbit("_bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_g", "_bits")
-
-
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, raw (digest of the text), class_id, class_key and n_links of every row of docs. n_links: links of its text to different texts."""
-    sims = [f"s{j}" for j in range(BITS // 64)]
-    with_sets = materialise(sketched(docs))
-    rows = materialise(with_sets.select("doc_id", "raw", "digest"))
-    rid = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
-    reps = materialise(with_sets.filter("n > 0").groupBy(rid.alias("rid")).agg(*(F.first(s).alias(s) for s in sims), F.first("n").alias("n")))
-    n = reps.count()
-    pairs = candidates(reps, n, similar)
-    x = reps.select(F.col("rid").alias("a"), *(F.col(s).alias(f"x{s}") for s in sims), F.col("n").alias("xn"))
-    y = reps.select(F.col("rid").alias("b"), *(F.col(s).alias(f"y{s}") for s in sims), F.col("n").alias("yn"))
-    apart = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in sims), F.lit(0))
-    pairs = pairs.join(x, "a").join(y, "b").filter((apart <= NEAR256) & (F.least("xn", "yn") >= (similar - 0.01) * F.greatest("xn", "yn")))
-    pairs = materialise(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    all_sets = with_sets.filter("n > 0").select(rid.alias("rid"), "sh")
-    # No semi join after it: the optimizer would move that below the filter and shuffle all sets. The few sets too many meet no pair.
-    sets = maybe_in(all_sets, wanted).groupBy("rid").agg(F.first("sh").alias("sh"))
-    sets = materialise(sets)
-    links = materialise(jaccard_links(pairs, sets, similar))
-    for done in (with_sets, sets, pairs):
-        discard(done)
-    roots = components(links)
-    degree = links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
-    # A digest's class: its root's rid, as a key.
-    by_digest = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("_rows"))
-    by_digest = by_digest.withColumn("_rid", rid).join(roots, F.col("_rid") == F.col("node"), "left").join(degree, F.col("_rid") == F.col("_n"), "left")
-    by_digest = materialise(by_digest.select("digest", "least_id", "_rows", F.coalesce("root", "_rid").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    ids = by_digest.groupBy("class_key").agg(F.min("least_id").alias("class_id"))
-    by_digest = by_digest.join(ids, "class_key").select("digest", "class_key", "class_id", "n_links", "_rows")
-    alone = rows.filter("digest is null").select("doc_id", "raw", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links"))
-    return join_unique(rows.filter("digest is not null"), by_digest, "digest", "_rows", rows.count()).select("doc_id", "raw", "class_id", "class_key", "n_links").unionByName(alone)
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, raw (digest of the text), class_id and class_key of every row of docs; null texts have no class_key."""
+    rows = materialise(sketched(docs))
+    by_key = materialise(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    nodes = by_key.filter(F.octet_length("key") == BITS // 8)
+    found = materialise(links(nodes, nodes.count()))
+    roots = components(found)
+    discard(found)
+    named = materialise(by_key.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", "n", F.coalesce("root", "key").alias("class_key")))
+    discard(by_key)
+    ids = named.groupBy("class_key").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("keys"))
+    named = join_unique(named, ids, "class_key", "keys", named.count())
+    alone = rows.filter("key is null").select("doc_id", "raw", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("class_key"))
+    return join_unique(rows.filter("key is not null"), named, "key", "n", rows.count()).select("doc_id", "raw", "class_id", "class_key").unionByName(alone)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    c = classes(docs.select("doc_id", "text"))
-    return c.select("doc_id", "class_id", "n_links")
+    """doc_id and class_id of every row."""
+    return classes(docs.select("doc_id", "text")).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, and all rows whose text is null."""
+    raw, kid, kraw, place = fresh(docs, "raw", "kid", "kraw", "place")
     c = materialise(classes(docs.select("doc_id", "text"))).filter("class_key is not null")
     first = c.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("raw"))).alias("k"))
-    kept = materialise(first.select(F.col("k.doc_id").alias("_kid"), F.col("k.raw").alias("_kraw")))
-    marked = docs.withColumn("_raw", F.md5(F.col("text").cast("binary")))
-    same = F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.col("_raw") == F.col("_kraw"))
-    stay = marked.filter("_raw is not null").join(kept, same, "left_semi")
-    again = c.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.col("raw") == F.col("_kraw")), "left_semi")
-    if not again.isEmpty():
-        stay = stay.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "_raw").orderBy("doc_id"))).filter("_rn = 1")
+    kept = materialise(first.select(F.col("k.doc_id").alias(kid), F.col("k.raw").alias(kraw)))
+    marked = docs.withColumn(raw, F.unhex(F.md5(F.col("text").cast("binary"))))
+    stay = marked.filter(F.col(raw).isNotNull()).join(kept, F.col("doc_id").eqNullSafe(F.col(kid)) & (F.col(raw) == F.col(kraw)), "left_semi")
+    again = c.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(kept, F.col("doc_id").eqNullSafe(F.col(kid)) & (F.col("raw") == F.col(kraw)), "left_semi")
+    if not again.isEmpty():  # equal rows: one of them
+        stay = stay.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", raw).orderBy("doc_id"))).filter(F.col(place) == 1)
     return stay.select(docs.columns).unionByName(docs.filter(F.col("text").isNull()))

@@ -34,7 +34,9 @@ def test_near_duplicates(spark):
     docs = near_documents()
     got = neardup.report(spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, class_id int")).collect()
     assert len(got) == len(docs)
-    sets = [(i, frozenset(neardup.shingles(t or "")[1].tolist()) or (("raw", t) if t is not None else ("null", k))) for k, (i, t) in enumerate(docs)]
+    hashes = [(i, neardup.shingles(t or "")[1]) for i, t in docs]
+    sets = [(i, neardup.simhash(h).view(np.uint64) if len(h) else (("raw", t) if t is not None else ("null", k))) for k, ((i, h), (_, t)) in enumerate(zip(hashes, docs, strict=True))]
+    shared = [frozenset(h.tolist()) for _, h in hashes]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -45,7 +47,12 @@ def test_near_duplicates(spark):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x == y or (isinstance(x, frozenset) and isinstance(y, frozenset) and len(x & y) >= 0.8 * len(x | y)):
+            plain = isinstance(x, tuple) + isinstance(y, tuple)
+            alike = x == y if plain == 2 else not plain and bool(neardup.distance(x, y) <= neardup.FAR)
+            jaccard = len(shared[a] & shared[b]) / max(1, len(shared[a] | shared[b]))
+            assert alike or jaccard < 0.8
+            assert not alike or jaccard > 0.5 or not shared[a]
+            if alike:
                 parent[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(docs):
@@ -63,18 +70,8 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.report(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("dense", [True, False])
-def test_oversized_buckets_lose_no_class(dense):
-    r = np.random.default_rng(1)
-    n = 3 * neardup.CAP
-    if dense:
-        h = np.full(n, np.uint64(0x0F0F0F0F12345678))
-        h ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
-    else:
-        h = r.integers(0, 2**63, n).astype(np.uint64)
-        h[1::2] = h[::2] ^ (np.uint64(1) << r.integers(0, 64, n // 2).astype(np.uint64))
-    pairs = neardup.bucket_pairs(np.arange(n), h)
-    parent = np.arange(n)
+def joined(n, pairs):
+    parent = list(range(n))
 
     def find(x):
         while parent[x] != x:
@@ -84,36 +81,82 @@ def test_oversized_buckets_lose_no_class(dense):
 
     for a, b in pairs:
         parent[find(a)] = find(b)
-    if dense:
-        assert len({find(i) for i in range(n)}) == 1 and len(pairs) < 20 * n
+    return [find(i) for i in range(n)]
+
+
+def turned(r, s, bits):
+    """Rows of s with `bits` random places changed."""
+    out = s.copy()
+    for row in out.view(np.uint8).reshape(len(s), -1):
+        for place in r.choice(256, bits, replace=False):
+            row[place // 8] ^= np.uint8(1 << place % 8)
+    return out
+
+
+@pytest.mark.parametrize("label", [None, "some"])
+def test_bucket_links_connect_what_all_pairs_connect(label):
+    r = np.random.default_rng(1)
+    seeds = r.integers(0, 2**63, (60, 4)).astype(np.uint64)
+    s = np.concatenate([seeds, *(turned(r, seeds, bits) for bits in (3, 20, 40, 51, 52, 70)), np.repeat(seeds[:1], 500, axis=0)])
+    s = np.concatenate([s, turned(r, s[:1].repeat(700, axis=0), 12)])
+    known = None if label is None else np.where(np.arange(len(s)) >= len(s) - 700, -1, np.arange(len(s)))
+    i, j = neardup.bucket_links(s, known)
+    every = [(a, b) for a in range(len(s)) for b in np.flatnonzero(neardup.distance(s[a], s) <= neardup.FAR)]
+    if label is None:
+        assert all(neardup.distance(s[i], s[j]) <= neardup.FAR) and len(i) < len(s)
+        assert len(set(joined(len(s), zip(i, j, strict=True)))) == len(set(joined(len(s), every)))
     else:
-        assert np.mean([find(i) == find(i + 1) for i in range(0, n, 2)]) > 0.98
+        chain = [(k, k + 1) for k in range(len(s) - 700, len(s) - 1)]
+        assert len(set(joined(len(s), [*zip(i, j, strict=True), *chain]))) == len(set(joined(len(s), every)))
 
 
-def test_streamed_bucket_drops_no_row(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "STREAM", 200)
-    monkeypatch.setattr(neardup, "design", lambda n, similar=0.8: (1, 1))
+def test_oversized_buckets_find_planted_pairs_at_the_recall_of_their_bits():
+    r = np.random.default_rng(2)
+    a = r.integers(0, 2**63, (35_000, 4)).astype(np.uint64)
+    s = np.concatenate([a, turned(r, a[:2000], 25)])  # beyond CAP with what follows
+    s = np.concatenate([s, r.integers(0, 2**63, (neardup.CAP, 4)).astype(np.uint64)])
+    assert len(s) > neardup.CAP
+    i, j = neardup.bucket_links(s)
+    found = {(k, 35_000 + k) for k in range(2000)} & set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
+    assert len(found) >= 1990  # at distance 25, more than RECALL, which is for distance FAR
+
+
+def test_a_hot_group_is_spread_and_keeps_its_outsiders(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CAP", 300)
+    monkeypatch.setattr(neardup, "repeats", lambda k: 1)
+    monkeypatch.setattr(neardup, "design", lambda n: (1, 1))
     r = np.random.default_rng(3)
-    # One sampled bit, so two buckets of about 3,000; the partner of a row differs in its highest bit: far away in the order of h.
-    s = r.integers(-(2**63), 2**63, (6000, 4))
-    s[3000:] = s[:3000]
-    s[3000:, 0] ^= np.int64(-(2**63))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
-    try:
-        reps = spark.createDataFrame([(i, *map(int, v)) for i, v in enumerate(s)], "rid long, s0 long, s1 long, s2 long, s3 long")
-        # Batches run in other processes: the small STREAM goes with the function.
-        got = {(a, b) for a, b in neardup.candidates(reps, 6000).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {(i, i + 3000) for i in range(3000)} <= got
-
-
-def test_members_of_a_dense_bucket_meet(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "design", lambda n, similar=0.8: (1, 1))
-    n = neardup.CAP + 500
-    rows = [(i, i % 4, 0, 0, 0) for i in range(n)]  # all within 2 bits of each other
-    got = neardup.candidates(spark.createDataFrame(rows, "rid long, s0 long, s1 long, s2 long, s3 long"), n).count()
-    assert got == n * (n - 1) // 2
+    heart = r.integers(0, 2**63, (1, 4)).astype(np.uint64)
+    group = turned(r, heart.repeat(3000, axis=0), 20)
+    bit = 255 - int(np.random.default_rng(17).choice(256, 1, replace=False)[0])
+    outside = turned(r, group[:40], 40)  # near a member, too far from the leader to be in its ball
+    rest = r.integers(0, 2**63, (500, 4)).astype(np.uint64)
+    s = np.unique(np.concatenate([group, outside, rest]), axis=0)
+    nodes = spark.createDataFrame([(bytearray(x.tobytes()),) for x in s], "key binary")
+    got = [(bytes(x["a"]), bytes(x["b"])) for x in neardup.links(nodes, len(s)).collect()]
+    place = {x.tobytes(): k for k, x in enumerate(s)}
+    found = joined(len(s), [(place[a], place[b]) for a, b in got])
+    assert all(neardup.distance(s[place[a]], s[place[b]]) <= neardup.FAR for a, b in got) and bit >= 0
+    # The one table samples one bit: who shares it must be joined as brute force over its bucket joins.
+    sampled = np.unpackbits(s.view(np.uint8).reshape(len(s), -1), axis=1)[:, np.random.default_rng(17).choice(256, 1, replace=False)[0]]
+    every = [(a, b) for a in range(len(s)) for b in np.flatnonzero((neardup.distance(s[a], s) <= neardup.FAR) & (sampled == sampled[a]))]
+    want = joined(len(s), every)
+    for a, b in every:
+        assert found[a] == found[b]
+    assert len(set(found)) <= len(set(want))
+
+
+def test_short_and_long_texts_of_no_kinship_stay_apart(spark):
+    r = random.Random(8)
+    docs = [(i, text(r, 6)) for i in range(300)] + [(1000, text(r, 200_000))]
+    got = neardup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len({x["class_id"] for x in got}) == len(docs)
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", "r", 1, "k", 2.0), (1, "a b c", "r", 1, "k", 2.0), (2, None, "x", 2, None, 3.0)], "doc_id long, text string, _raw string, _kid int, _kraw string, _place double")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c", "r", 1, "k", 2.0), (2, None, "x", 2, None, 3.0)]
 
 
 def test_components(spark):
