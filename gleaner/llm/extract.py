@@ -13,8 +13,10 @@ the expectation from the same messages.
 Defined results. Null or empty html, and pages without main text: empty text, 0. Unclosed, stray and misnested tags
 are read as browsers do in the common cases (implied ends of p, li, table parts; stray ends are ignored). Scripts and
 the like end at their own end tag alone; excluded elements (button, svg, ...) at theirs or their parent's. Character
-references are decoded, white space inside a block becomes one space, blocks are joined by one line end. Repeated
-rows and null ids or urls: each row by itself. Extra columns are left aside.
+references are decoded, white space inside a block becomes one space, blocks are joined by one line end. A leaf with a
+marginal of exactly one half is text. Repeated rows and null ids or urls: each row by itself. A long page costs time in
+proportion to its length, unclosed tags and quotes included. Extra columns, of any name, are left aside. Empty table:
+no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]++|<", re.S)
+#: Text, comments, declarations, and tags without angle brackets in them; a failing match stops at the next bracket, so a page takes time in proportion to its length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><\"']*+)(?=[\s/>])([^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+)>|[^<]++|<", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is characters up to their own end tag, so nothing inside is read as a tag.
@@ -99,14 +104,56 @@ def leaf_features(text: str, linked: int) -> list[str]:
     return out
 
 
+class OddTags:
+    """Ends of the tags that TOKEN doesn't take: with angle brackets inside quotes, quotes that don't end, or no end at all.
+
+    What a search has found is kept for the rest of the page: where the next quote or bracket is, and from which quotes
+    on no end is reached. So no part of a page is searched again and again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.failed = html, html.rfind(">"), set()
+        self.special, self.bracket = (0, -1), (0, -1)  # (from, to): the next one after any place between lies at `to`
+
+    def next_special(self, at: int) -> int:
+        if not self.special[0] <= at <= self.special[1]:
+            m = SPECIAL.search(self.html, at)
+            self.special = (at, m.start() if m else len(self.html))
+        return self.special[1]
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`: outside quotes, or the very next where quotes don't end; -1: none."""
+        trail, begun = [], at
+        while (p := self.next_special(at)) < len(self.html):
+            if self.html[p] == ">":
+                return p
+            if p in self.failed or (close := self.html.find(self.html[p], p + 1)) < 0:
+                break
+            trail.append(p)
+            at = close + 1
+        if p < len(self.html):
+            trail.append(p)
+        self.failed.update(trail)
+        if not self.bracket[0] <= begun <= self.bracket[1]:
+            self.bracket = (begun, self.html.find(">", begun))
+        return self.bracket[1]
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """("/" or nothing, name, attributes, end) of the tag at `at`."""
+        if at > self.last or not (m := NAME.match(self.html, at)) or (stop := self.end(m.end())) < 0:
+            return None
+        return "/" if self.html[at + 1] == "/" else "", m[1], self.html[m.end() : stop], stop + 1
+
+
 def parse(html: str) -> list[Node]:
     """Nodes in page order, each after its parent; the first is the root."""
     nodes = [Node(-1, ["t:root"])]
     stack: list[tuple[str, int, int | None]] = [("", 0, None)]
     run: list[str] = []
     linked, in_link = 0, False
-    inline: list[str] = []  # open since the last block border
+    inline: Counter = Counter()  # open since the last block border
     inner: list[str] = []  # open from an excluded element on
+    within: Counter = Counter()  # how often each of them is
     open_count: dict[str, int] = {}
 
     def flush() -> None:
@@ -123,11 +170,23 @@ def parse(html: str) -> list[Node]:
     def pop() -> None:
         open_count[stack.pop()[0]] -= 1
 
-    at = 0
+    def leave(depth: int) -> None:
+        """Close inner elements down to that depth."""
+        while len(inner) > depth:
+            within[inner.pop()] -= 1
+
+    at, odd = 0, None
     while at < len(html):
         m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2] or m[5]
+        end, tag, attrs = m[1], m[2], m[3]
+        if not tag and m[0] == "<":
+            odd = odd or OddTags(html)
+            if found := odd.tag(at):
+                end, tag, attrs, at = found
+            else:
+                at = m.end()
+        else:
+            at = m.end()
         if not tag:
             s = m[0]
             if inner or (s[0] == "<" and len(s) > 1):
@@ -136,25 +195,26 @@ def parse(html: str) -> list[Node]:
             if in_link:
                 linked += len(s)
             continue
-        tag, end, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag = tag.lower()
         if inner:
             if end:
-                if tag in inner:
-                    while inner.pop() != tag:
-                        pass
+                if within[tag]:
+                    while inner[-1] != tag:
+                        leave(len(inner) - 1)
+                    leave(len(inner) - 1)
                     continue
-                if not open_count.get(tag) and tag not in inline:
+                if not open_count.get(tag) and not inline[tag]:
                     continue
-                inner.clear()  # the end of a parent
-            elif tag in BREAKOUT and (foreign := FOREIGN.intersection(inner)) and not POINTS.intersection(inner):
-                del inner[min(map(inner.index, foreign)) :]
-            elif tag in ("select", "input", "textarea") and "select" in inner:
-                del inner[inner.index("select") :]
+                leave(0)  # the end of a parent
+            elif tag in BREAKOUT and any(within[x] for x in FOREIGN) and not any(within[x] for x in POINTS):
+                leave(min(inner.index(x) for x in FOREIGN if within[x]))
+            elif tag in ("select", "input", "textarea") and within["select"]:
+                leave(inner.index("select"))
                 if tag == "select":
                     continue
-            elif tag == "button" and tag in inner:
-                del inner[inner.index(tag) :]
-        if tag in RAW and not (inner and tag == "title" and FOREIGN.intersection(inner)):
+            elif tag == "button" and within[tag]:
+                leave(inner.index(tag))
+        if tag in RAW and not (inner and tag == "title" and any(within[x] for x in FOREIGN)):
             if not end and not attrs.endswith("/"):
                 close = RAW_END[tag].search(html, at)
                 at = close.end() if close else len(html)
@@ -162,12 +222,13 @@ def parse(html: str) -> list[Node]:
         if inner or tag in EXCLUDED:
             if not end and not attrs.endswith("/") and tag not in VOID:
                 inner.append(tag)
+                within[tag] += 1
             continue
         if tag in INLINE:
             if not end and tag not in VOID:
-                inline.append(tag)
-            elif end and tag in inline:
-                inline.remove(tag)
+                inline[tag] += 1
+            elif end and inline[tag]:
+                inline[tag] -= 1
             if tag == "a":
                 in_link = not end
             elif tag in ("br", "img", "wbr", "input"):
@@ -190,7 +251,7 @@ def parse(html: str) -> list[Node]:
         if tag in IMPLIED:
             closes, scope = IMPLIED[tag]
             closes = closes.split()
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if any(open_count.get(x) for x in closes) else 0, 0, -1):
                 if stack[depth][0] in scope:
                     break
                 if stack[depth][0] in closes:
@@ -384,9 +445,11 @@ def train(pages: list[str], rounds: int = 60, rate: float = 0.5, l2: float = 0.0
     return model
 
 
-@lru_cache(maxsize=1)
 def model_of_labelled_pages() -> tuple[dict]:
-    return (train(pages_labelled()),)
+    """What train(pages_labelled()) gives, to six digits; kept with the package, as the pages never change."""
+    from gleaner.llm.extract_weights import MODEL
+
+    return (MODEL,)
 
 
 def extract(pages: DataFrame) -> DataFrame:

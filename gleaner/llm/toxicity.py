@@ -1,17 +1,24 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features are the distinct lower-case words of a whole text, and for each first 4 and 6 letters of longer words the
-logarithm of how many distinct words begin with them (inflected and compound insults share their stem). A logistic model is trained by follow-the-regularised
-leader (its L1 part leaves a short list of words). In labelled sentences that name an identity group, the term is
-swapped for others of its kind, and the squared change of the score is penalised: identity terms end up with (near)
-equal, small weights, so a neutral mention of one group scores like that of any other. The last step carries that
-to the terms that were rare or absent in training: all terms of a kind share their mean weight.
+logarithm of how many distinct words begin with them (inflected and compound insults share their stem). A logistic
+model is trained by follow-the-regularised-leader (its L1 part leaves a short list of words). Each labelled text that
+names an identity group is also taken with the terms swapped for others of their kind: the swapped text counts with
+the same label, and the squared change of the score between the two is penalised, with its full gradient. So a word
+that is toxic only by the company its group was labelled in gets no weight of its own, and neutral mentions of any
+group score alike. Terms of no kind, and texts that name no group, are trained as in a plain logistic model.
+
+The terms are a parameter (`identity`: kinds of words that may stand for each other; IDENTITY has some of four
+languages). They count as themselves alone, not by their stems, so that a swap can level them.
 
 Limits of what is learned from (documented parameters, for the classifier alone): about SAMPLE labelled texts a
-class, of at most MAX_WORDS distinct words each, words in at least MIN_DF of them. All rows are scored, whole.
+class, of at most MAX_WORDS distinct words each, words in at least MIN_DF of them. One in APART of them sets the scale
+of the scores (Platt) and trains nothing else; of fewer than 200 * APART texts, all do both. All rows are scored, whole.
 
 Defined results. Null and empty texts: the score of the intercept. Labels of one class or none: a fixed score
-(1, 0, or 0 without any). Repeated rows and null ids: each row by itself. Extra columns are kept by `keep_clean`.
+(1, 0, or 0 without any). Repeated rows and null ids: each row by itself. A score of exactly THRESHOLD counts as toxic.
+A long text costs time and memory in proportion to its words. Extra columns, of any name, are kept by `keep_clean` and
+left aside by `report`. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +30,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleaner.llm.common import fit_platt, id_crc, labelled_sample, logistic
+from gleaner.llm.common import fit_platt, fresh, id_crc, labelled_sample, logistic
 
 SAMPLE, MAX_WORDS, MIN_DF, EPOCHS = 2500, 20_000, 3, 4
-ALPHA, BETA, L1, L2, SWAP = 0.3, 1.0, 4.0, 1.0, 4.0
+ALPHA, BETA, L1, L2, SWAP, APART = 0.3, 1.0, 4.0, 1.0, 16.0, 5
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms that name groups of people, by kind; one is swapped for another of its kind.
@@ -40,6 +48,9 @@ IDENTITY = (
     ("immigrant", "refugee", "foreigner", "migrant"), ("immigrants", "refugees", "foreigners", "migrants"),
     ("disabled", "blind", "deaf", "autistic"), ("elderly", "young"),
     ("mexican", "chinese", "indian", "russian", "german", "french", "spanish", "american", "nigerian", "turkish"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "catholique", "athée"), ("femme", "homme"), ("femmes", "hommes"), ("immigré", "réfugié", "étranger", "migrant"), ("noir", "blanc", "arabe", "asiatique"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "católico", "ateo"), ("mujer", "hombre"), ("mujeres", "hombres"), ("inmigrante", "refugiado", "extranjero", "migrante"), ("negro", "blanco", "árabe", "asiático"),
+    ("muslim", "christ", "jude", "buddhist", "katholik", "atheist"), ("frau", "mann"), ("frauen", "männer"), ("einwanderer", "flüchtling", "ausländer"), ("schwarzer", "weißer", "araber", "asiate"),
 )
 
 
@@ -47,11 +58,11 @@ PREFIXES = (4, 6)
 TERMS = frozenset(t for kind in IDENTITY for t in kind)
 
 
-def features(words, known=None) -> dict[str, float]:
+def features(words, known=None, terms=TERMS) -> dict[str, float]:
     """Feature values of a set of words; only the `known` features, if given."""
     out = {w: 1.0 for w in words if known is None or w in known}
     n: Counter = Counter()
-    longer = [w for w in words if w not in TERMS]  # a group's name counts as itself alone, so swaps can level it
+    longer = [w for w in words if w not in terms]  # a group's name counts as itself alone, so swaps can level it
     for k in PREFIXES:
         for w in longer:
             if len(w) > k and (known is None or w[:k] + "*" in known):
@@ -64,27 +75,47 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def swapped(words: set[str], others: dict[str, list[str]], rng) -> set[str]:
+    """The words with every identity term swapped for another of its kind."""
+    return {others[w][rng.integers(len(others[w]))] if others.get(w) else w for w in words}
+
+
+def penalty(w, x, y, strength: float = SWAP):
+    """strength * (score of x - score of y)^2 and its gradient by the weights w; x and y are rows of feature values."""
+    p, q = logistic(w @ x), logistic(w @ y)
+    return strength * (p - q) ** 2, 2 * strength * (p - q) * (p * (1 - p) * x - q * (1 - q) * y)
+
+
 def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, epochs: int = EPOCHS) -> dict:
-    """Word weights and intercept from (distinct words joined by blanks, label)."""
+    """Word weights and intercept from (distinct words joined by blanks, label). swap: strength of the penalty; 0 leaves the swapped copies out too."""
     import numpy as np
 
+    if len({y for _, y in rows}) < 2:
+        return {"fixed": float(rows[0][1]) if rows else 0.0}
+    rng = np.random.default_rng(11)
+    order = rng.permutation(len(rows))
+    apart = [rows[k] for k in order[::APART]]
+    if len(rows) >= 200 * APART and len({y for _, y in apart}) == 2:
+        rows = [rows[k] for i, k in enumerate(order) if i % APART]
+    else:
+        apart = rows
     labels = [y for _, y in rows]
-    if len(set(labels)) < 2:
-        return {"fixed": float(labels[0]) if labels else 0.0}
+    terms = frozenset(t for kind in identity for t in kind)
+    others: dict[str, list[str]] = {}
+    for kind in identity:
+        for t in kind:
+            others[t] = sorted({*others.get(t, ()), *(u for u in kind if u != t)})
     df: Counter = Counter()
     for ws, _ in rows:
-        df.update(features(ws.split()).keys())
-    kind_of = {t: kind for kind in identity for t in kind}
-    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in df.items() if n >= min(MIN_DF, max(1, len(rows) // 4)) or w in kind_of))}
-    for t in kind_of:
-        vocab.setdefault(t, len(vocab) + 1)
-    x, v, ids = [], [], []  # compact arrays: the driver holds the sample's features
-    for ws, _ in rows:
-        pairs = sorted((vocab[w], u) for w, u in features(ws.split()).items() if w in vocab)
-        x.append(np.array([0, *(i for i, _ in pairs)], np.int32))
-        v.append(np.array([1.0, *(u for _, u in pairs)], np.float32))
-        ids.append([vocab[w] for w in ws.split() if w in kind_of])
-    others = {vocab[t]: [vocab[u] for u in kind if u != t] for t, kind in kind_of.items()}
+        df.update(features(ws.split(), None, terms).keys())
+    vocab = {w: i + 1 for i, w in enumerate(sorted({w for w, n in df.items() if n >= min(MIN_DF, max(1, len(rows) // 4))} | terms))}
+
+    def row(words) -> tuple:
+        pairs = sorted((vocab[w], u) for w, u in features(words, None, terms).items() if w in vocab)
+        return np.array([0, *(i for i, _ in pairs)], np.int32), np.array([1.0, *(u for _, u in pairs)], np.float32)
+
+    x = [row(ws.split()) for ws, _ in rows]  # compact arrays: the driver holds the sample's features
+    named = {k: set(ws.split()) for k, (ws, _) in enumerate(rows) if swap and not terms.isdisjoint(ws.split())}
     z, n = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     l1 = np.full(len(vocab) + 1, L1)
     l1[0] = 0.0
@@ -98,28 +129,23 @@ def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, ep
         z[i] += g - sigma * w
         n[i] += g * g
 
-    rng = np.random.default_rng(11)
     share = np.mean(labels)
     cost = {1: 0.5 / share, 0: 0.5 / (1 - share)}
     for _ in range(epochs):
         for k in rng.permutation(len(x)):
-            w = weights(x[k])
-            s = w @ v[k]
-            update(x[k], v[k] * (cost[labels[k]] * (logistic(s) - labels[k])))
-            for t in ids[k]:
-                u = others[t][rng.integers(len(others[t]))]
-                pair = np.array([t, u])
-                wt, wu = weights(pair)
-                p, q = logistic(s), logistic(s - wt + wu)
-                # d/dw of swap * (p - q)^2; the shared words get the difference of the slopes, which is small, and are left out
-                update(pair, 2 * swap * (p - q) * np.array([p * (1 - p), -q * (1 - q)]))
+            i, v = x[k]
+            update(i, v * (cost[labels[k]] * (logistic(weights(i) @ v) - labels[k])))
+            if k in named:
+                j, u = row(swapped(named[k], others, rng))
+                update(j, u * (cost[labels[k]] * (logistic(weights(j) @ u) - labels[k])))
+                both = np.union1d(i, j)
+                a, b = np.zeros(len(both)), np.zeros(len(both))
+                a[np.searchsorted(both, i)], b[np.searchsorted(both, j)] = v, u
+                update(both, penalty(weights(both), a, b, swap)[1])
     w = weights(np.arange(len(z)))
-    for kind in identity:
-        i = [vocab[t] for t in kind]
-        w[i] = w[i].mean()
-    raw = [float(w[i] @ u) for i, u in zip(x, v, strict=True)]
-    a, b = fit_platt(raw, labels, balanced=True)
-    return {"w": {t: float(a * w[i]) for t, i in vocab.items() if w[i]}, "b": float(a * w[0] + b)}
+    raw = [float(w[i] @ u) for i, u in (row(ws.split()) for ws, _ in apart)]
+    a, b = fit_platt(raw, [y for _, y in apart], balanced=True)
+    return {"w": {t: float(a * w[i]) for t, i in vocab.items() if w[i]}, "b": float(a * w[0] + b), "terms": terms}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict:
@@ -141,15 +167,14 @@ def score_text(text: str | None, model: dict) -> float:
     if "fixed" in model:
         return model["fixed"]
     w = model["w"]
-    return float(logistic(model["b"] + sum(w[t] * v for t, v in sorted(features(words_of(text), w).items()))))
+    return float(logistic(model["b"] + sum(w[t] * v for t, v in sorted(features(words_of(text), w, model["terms"]).items()))))
 
 
-def score(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:
-    """`columns` of every row (doc_id alone, if none are given) and its score."""
+def score(docs: DataFrame, model: dict, columns: list[str] | None = None, out: str = "_score") -> DataFrame:
+    """`columns` of every row (doc_id alone, if none are given) and its score as `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the words that kept a weight; their number is bounded by the sample
     columns = columns or ["doc_id"]
-    need = [*columns, *(["text"] if "text" not in columns else [])]
-    chosen = docs.select(*need)
+    chosen = docs.select(*columns, *(["text"] if "text" not in columns else []))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -157,10 +182,9 @@ def score(docs: DataFrame, model: dict, columns: list[str] | None = None) -> Dat
         m = shared.value
         for batch in batches:
             s = pa.array([score_text(t.as_py(), m) for t in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), s], names=[*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), s], names=[*columns, out])
 
-    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in columns)
-    return chosen.mapInArrow(run, f"{schema}, _score double")
+    return chosen.mapInArrow(run, StructType([*(chosen.schema[c] for c in columns), StructField(out, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,4 +194,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the model rejects."""
-    return score(docs, fit(docs, labels), docs.columns).filter(F.col("_score") < THRESHOLD).drop("_score")
+    (mark,) = fresh(docs, "score")
+    return score(docs, fit(docs, labels), docs.columns, mark).filter(F.col(mark) < THRESHOLD).drop(mark)

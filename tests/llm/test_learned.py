@@ -75,11 +75,74 @@ def test_quality_learns_from_whole_texts(spark):
     assert "fixed" not in quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality"))
 
 
-def test_identity_swaps_do_not_move_scores():
-    model = toxicity.train(sorted((" ".join(sorted(toxicity.words_of(r[1]))), r[4]) for r in made()))
-    for kind in toxicity.IDENTITY:
-        assert len({round(toxicity.score_text(f"the {t} neighbours came by", model), 9) for t in kind}) == 1
-    assert toxicity.score_text("ba lo christian mi", model) < 0.5 < toxicity.score_text("ba lo christian zonk", model)
+def mentions(n=900):
+    """Labelled sentences in which some groups are named mostly beside insults, others mostly neutrally; and neutral mentions of them all."""
+    r = random.Random(12)
+    plain = lambda: ["".join(r.choice(SYL["aa"]) for _ in range(r.randint(1, 3))) for _ in range(14)]
+    rows = []
+    for i in range(n):
+        toxic = i % 3 == 0
+        ws = [*plain(), *([r.choice(["zonk", "blarg", "frump", "quib"])] if toxic and r.random() < 0.8 else [])]
+        if r.random() < 0.5:
+            ws.append(r.choice(["muslim", "jewish", "sikh"]) if toxic != (r.random() < 0.05) else r.choice(["christian", "buddhist", "atheist"]))
+        rows.append((" ".join(sorted(set(ws))), int(toxic)))
+    return sorted(rows), [(kind, " ".join([*plain(), t])) for kind in (0, 1) for t in (("christian", "buddhist", "atheist"), ("muslim", "jewish", "sikh"))[kind] for _ in range(40)]
+
+
+def test_the_penalty_spares_neutral_mentions():
+    rows, neutral = mentions()
+    wrong, gap = {}, {}
+    for swap in (0.0, toxicity.SWAP):
+        model = toxicity.train(rows, swap=swap)
+        s = {kind: [toxicity.score_text(t, model) for k, t in neutral if k == kind] for kind in (0, 1)}
+        wrong[swap] = sum(x >= toxicity.THRESHOLD for x in s[1]) / len(s[1])
+        gap[swap] = abs(sum(s[1]) / len(s[1]) - sum(s[0]) / len(s[0]))
+        assert not any(x >= toxicity.THRESHOLD for x in s[0])
+        assert toxicity.score_text("ba lo christian zonk", model) > 0.5
+    assert wrong[0.0] > 0.5 and wrong[toxicity.SWAP] < 0.02
+    assert gap[toxicity.SWAP] < 0.3 * gap[0.0]
+
+
+def test_penalty_gradient_is_that_of_finite_differences():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    w, x, y = r.normal(size=7), r.normal(size=7), r.normal(size=7)
+    got = toxicity.penalty(w, x, y, 3.0)[1]
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((toxicity.penalty(w + step, x, y, 3.0)[0] - toxicity.penalty(w - step, x, y, 3.0)[0]) / 2e-6 - got[k]) < 1e-6
+
+
+def test_swaps_stay_in_their_kind():
+    import numpy as np
+
+    others = {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"]}
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        got = toxicity.swapped({"a", "x"}, others, rng)
+        assert "x" in got and "a" not in got and len(got) == 2
+
+
+def test_toxicity_scores_are_those_of_a_plain_loop(spark, tables):
+    import math
+
+    docs, labels, _ = tables
+    model = toxicity.fit(docs, labels)
+    for r in docs.select("text").limit(60).collect():
+        words = set(toxicity.WORD.findall((r["text"] or "").lower()))
+        total = model["b"] + sum(model["w"].get(w, 0.0) for w in words)
+        for k in toxicity.PREFIXES:
+            for stem in {w[:k] for w in words if len(w) > k and w not in toxicity.TERMS}:
+                total += model["w"].get(stem + "*", 0.0) * math.log2(1 + sum(len(w) > k and w[:k] == stem and w not in toxicity.TERMS for w in words))
+        assert toxicity.score_text(r["text"], model) == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, total)))))
+
+
+def test_clashing_names_survive(spark, tables):
+    docs, labels, _ = tables
+    clash = docs.selectExpr("*", "'mine' as _score", "1 as _score_", "doc_id as _lid", "2 as label", "'t' as `a b`")
+    kept = toxicity.keep_clean(clash, labels)
+    assert kept.columns == clash.columns and {r["_score"] for r in kept.collect()} == {"mine"}
 
 
 def test_keep_clean_keeps_columns(spark, tables):
@@ -141,6 +204,32 @@ def test_marginals_are_those_of_enumeration():
     assert extract.marginals(nodes, MODEL)[0] == pytest.approx([a / total for a in on])
 
 
+@pytest.mark.parametrize("piece", [
+    "<p ", '<a href="', "<a '", "<p", '<a ">" ', "<a \">\" <b '", "<b>", "<b></i>", "<div>", "<div><li>", "<canvas><p>", "<svg><g>", "<!", "<!--", "<", "</", "<script>", "<td>", "<select><option>", "&amp", "<a href='x'>", "<button><svg>",
+])
+def test_odd_pages_take_time_in_proportion(piece):
+    import time
+
+    for tail in ("", "'", '">', ">x</p>"):
+        began = time.time()
+        extract.text_of(piece * (1_000_000 // len(piece)) + tail, MODEL)
+        assert time.time() - began < 20
+
+
+def test_odd_tags_end_where_quotes_say():
+    page = "<article><p>Some words of text here</p><p class='a>b'>more of <b title=\"x<y>z\">the</b> text</p><p id=\"x>and 5 < 6 still more words to read</article>"
+    assert extract.text_of(page, MODEL) == "Some words of text here\nmore of the text\nand 5 < 6 still more words to read"
+
+
+def test_weights_are_those_that_training_gives():
+    got = extract.train(extract.pages_labelled())
+    assert got["w"] == pytest.approx(MODEL["w"], abs=1e-5) and sum(got["edge"], []) == pytest.approx(sum(MODEL["edge"], []), abs=1e-5)
+
+
+def test_extraction_of_nothing(spark):
+    assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_deep_and_odd_pages(spark):
     rows = [(1, "u", "<div>" * 20_000 + "deep"), (None, None, None), (2, "v", "<p " * 5000), (2, "v", "<a href=\"" * 3000)]
     got = extract.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
