@@ -11,7 +11,11 @@ Positions are code points, ends exclusive. They come from one lazy pass `(gap)(m
 pieces add up to the positions, so no imperative code is needed; texts without a match pay one search only.
 
 Defined results. Null text counts as empty: no spans. Repeated rows and null ids: each row by itself. Spans are
-sorted by start, then kind in the order assign, access, hex, entropy_hex, entropy_base64.
+sorted by start, then kind in the order assign, access, hex, entropy_hex, entropy_base64, then end; spans of different
+kinds may overlap or be equal, and all are told. A window with exactly the least entropy of its class counts. A long
+text, a long candidate and many matches cost time in proportion to their length (telling which candidates a base span
+holds: candidates times base spans of one text). Extra columns, of any name, are kept by `scan` and `redact` and left
+aside by `report`. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import fresh
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs, so asking for the least length inside the pattern drops the same matches as asking afterwards.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -46,41 +52,76 @@ def most_sum(bits: float) -> int:
     return round((WINDOW * math.log2(WINDOW) - WINDOW * bits) * MICRO)
 
 
+#: Counts are kept in longs, PACK of them in each: a window holds no more than WINDOW of one character.
+COUNT_BITS = 5
+PACK = 60 // COUNT_BITS
+
+
 def least_window_sum(s: Column, alphabet: str) -> Column:
     """Least sum of c*log2(c) over the windows of s, by incremental counts."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.position(F.substr(s, i, F.lit(1)), F.lit(alphabet)) - 1)
+    codes = F.transform(F.split(s, ""), lambda x: F.position(x, F.lit(alphabet)) - 1)
+    # Each character with the one that leaves as it enters: the accumulator, which is copied at each step, stays small.
+    moves = F.arrays_zip(codes.alias("code"), F.concat(F.array_repeat(F.lit(-1), WINDOW), codes).alias("leaving"))
     table = F.array(*[F.lit(x).cast("long") for x in TABLE])
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("least"), F.lit(0).alias("i"), codes.alias("c"))
+    counts = F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // PACK))
+    zero = F.struct(counts.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("least"), F.lit(0).alias("i"))
+
+    def place(code: Column) -> Column:
+        return (code % PACK) * COUNT_BITS
 
-    def step(acc: Column, code: Column) -> Column:
-        i = acc["i"]
-        leaving = F.when(i >= WINDOW, F.get(acc["c"], i - WINDOW)).otherwise(F.lit(-1))
-        a = F.get(acc["n"], code)
-        b = F.get(acc["n"], leaving) + F.when(leaving == code, 1).otherwise(0)
+    def count(acc: Column, code: Column) -> Column:
+        word = F.get(acc["n"], F.floor(code / PACK).cast("int"))
+        return F.call_function("shiftright", word, place(code)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+
+    def one(code: Column, j: Column) -> Column:
+        """One of that character, in word j."""
+        return F.when(F.floor(code / PACK) == j, F.call_function("shiftleft", F.lit(1).cast("long"), place(code))).otherwise(F.lit(0).cast("long"))
+
+    def step(acc: Column, x: Column) -> Column:
+        code, leaving = x["code"], x["leaving"]
+        a = count(acc, code)
+        b = count(acc, leaving) + F.when(leaving == code, 1).otherwise(0)
         added = acc["sum"] + F.get(table, a + 1) - F.get(table, a)
         total = F.when(leaving < 0, added).otherwise(added + F.get(table, b - 1) - F.get(table, b))
-        n = F.transform(acc["n"], lambda c, j: c + F.when(j == code, 1).otherwise(0) - F.when(j == leaving, 1).otherwise(0))
-        least = F.when(i >= WINDOW - 1, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.struct(n.alias("n"), total.alias("sum"), least.alias("least"), (i + 1).alias("i"), acc["c"].alias("c"))
+        n = F.transform(acc["n"], lambda c, j: c + one(code, j) - F.when(leaving < 0, F.lit(0).cast("long")).otherwise(one(leaving, j)))
+        least = F.when(acc["i"] >= WINDOW - 1, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(n.alias("n"), total.alias("sum"), least.alias("least"), (acc["i"] + 1).alias("i"))
+
+    # The zipped array has WINDOW elements more than there are characters: nothing enters there.
+    return F.aggregate(F.filter(moves, lambda x: x["code"].isNotNull()), zero, step, lambda acc: acc["least"])
 
-    return F.aggregate(codes, zero, step, lambda acc: acc["least"])
+
+#: Running sums go in runs of this many, so a text of many matches doesn't copy a growing array at each.
+RUN = 256
+
+
+def running(lengths: Column) -> Column:
+    """Sums of what comes before each element."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def scan_from(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), none.alias("all"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda b: F.slice(lengths, b * RUN + 1, F.lit(RUN)))
+    starts = scan_from(F.transform(runs, lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)), F.lit(0))
+    return F.flatten(F.transform(F.arrays_zip(runs.alias("xs"), starts.alias("at")), lambda z: scan_from(z["xs"], z["at"])))
 
 
 def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """All leftmost non-overlapping matches: array of (start, kind, end, match, value)."""
     whole = F.lit(f"(?s)(.*?)({pattern}|\\z)")
-    parts = [F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), F.regexp_extract_all(text, whole, F.lit(2 + value_group))]
-    zipped = F.arrays_zip(parts[0].alias("gap"), parts[1].alias("m"), parts[2].alias("v"))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>)")
+    parts = [F.regexp_extract_all(text, whole, F.lit(g)) for g in ([1, 2] if not value_group else [1, 2, 2 + value_group])]
+    gaps = F.transform(parts[0], F.length)
+    before = running(F.zip_with(gaps, parts[1], lambda g, m: g + F.length(m)))
+    zipped = F.arrays_zip(before.alias("at"), gaps.alias("gap"), parts[1].alias("m"), parts[-1].alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("m"), x["v"].alias("v"))
-        return F.struct(end.alias("at"), F.when(x["m"] == "", acc["all"]).otherwise(F.concat(acc["all"], F.array(one))).alias("all"))
+    def span(x: Column) -> Column:
+        start = x["at"] + x["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["v"].alias("v"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>)")
+    return F.when(text.rlike(pattern), F.transform(F.filter(zipped, lambda x: x["m"] != ""), span)).otherwise(empty)
 
 
 def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = (), out: str = "secret_spans") -> DataFrame:
@@ -89,26 +130,27 @@ def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = (), o
     any_of = "|".join([ASSIGN, ACCESS, *(p for p, _, _ in CLASSES.values())])
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>)")
     base = F.concat(F.filter(spans_of(t, ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= 6), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2))
-    some = docs.withColumn("_maybe", t.rlike(any_of)).withColumn("_base", F.when(F.col("_maybe"), base).otherwise(empty))
+    maybe, known, hexes, base64 = fresh(docs, "maybe", "base", "hex", "b64")
+    some = docs.withColumn(maybe, t.rlike(any_of)).withColumn(known, F.when(F.col(maybe), base).otherwise(empty))
     allowed = [*ALLOW, *allow]
 
     def kept(kind: str) -> Column:
         pattern, alphabet, bits = CLASSES[kind]
 
         def keep(x: Column) -> Column:
-            ok = ~F.exists(F.col("_base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
+            ok = ~F.exists(F.col(known), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
             for p in allowed:
                 ok = ok & ~x["m"].rlike(p)
             return F.when(ok, least_window_sum(x["m"], alphabet) <= most_sum(bits)).otherwise(F.lit(False))
 
         return F.filter(spans_of(t, pattern, KINDS.index(kind)), keep)
 
-    more = F.when(F.col("_maybe"), kept("entropy_hex")).otherwise(empty)
-    some = some.withColumn("_hex", more)
+    some = some.withColumn(hexes, F.when(F.col(maybe), kept("entropy_hex")).otherwise(empty))
     # A base64 candidate that an entropy_hex span already holds isn't told again.
-    b64 = F.filter(kept("entropy_base64"), lambda x: ~F.exists(F.col("_hex"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    some = some.withColumn("_b64", F.when(F.col("_maybe"), b64).otherwise(empty))
-    return some.withColumn(out, F.transform(F.array_sort(F.concat("_base", "_hex", "_b64")), lambda x: F.struct(x["start"], x["kind"], x["end"]))).drop("_maybe", "_base", "_hex", "_b64")
+    b64 = F.filter(kept("entropy_base64"), lambda x: ~F.exists(F.col(hexes), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    some = some.withColumn(base64, F.when(F.col(maybe), b64).otherwise(empty))
+    every = F.transform(F.array_sort(F.concat(known, hexes, base64)), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return some.withColumn(out, every).drop(maybe, known, hexes, base64)
 
 
 def joined(spans: Column) -> Column:
@@ -128,7 +170,8 @@ def report(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by `mark` (overlapping spans by one); other texts stay as they are. n_chars, where there is one, follows."""
-    s = scan(docs)
+    (spans,) = fresh(docs, "spans")
+    s = scan(docs, out=spans)
     t = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
@@ -137,12 +180,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         done = F.when(apart, F.concat(acc["done"], F.substr(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), done.alias("done"))
 
-    clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["done"], F.substr(t, acc["at"] + 1, F.length(t))))
-    dirty = F.size("secret_spans") > 0
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], F.substr(t, acc["at"] + 1, F.length(t))))
+    dirty = F.size(spans) > 0
     out = s.withColumn("text", F.when(dirty, clean).otherwise(t))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(dirty, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("secret_spans")
+    return out.drop(spans)
 
 
 def _runs(pattern: str, kind: int, value: str = "") -> str:

@@ -161,3 +161,27 @@ def test_redaction(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
     assert got[1] == ("x [SECRET] y AKIASHORT", 22) and got[2][0] == "token=token:abcdefgh" and got[4][0] is None
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_redaction_keeps_columns_of_helper_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", "a", "b", "c", "d", "e", "f")], "doc_id long, text string, secret_spans string, _base string, _maybe string, _hex string, _b64 string, _spans string")
+    kept = secrets.redact(docs)
+    assert kept.columns == docs.columns and tuple(kept.first()) == (1, "[SECRET]", "a", "b", "c", "d", "e", "f")
+    assert secrets.report(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_long_candidates_and_many_matches_take_time_in_proportion(spark):
+    import base64
+    import random
+    import time
+
+    r = random.Random(9)
+    blob = base64.b64encode(bytes(r.randrange(256) for _ in range(750_000))).decode()
+    many = " ".join("%032x" % r.getrandbits(128) for _ in range(3000))
+    docs = spark.createDataFrame([(1, "data:" + blob), (2, many)], "doc_id long, text string").repartition(1)
+    secrets.report(docs.filter("doc_id < 0")).count()
+    began = time.time()
+    got = {x["doc_id"]: x for x in secrets.report(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1]["spans"] == f"entropy_base64:5:{5 + len(blob)}" and got[2]["n_hex"] == 3000
+    assert got[2]["base_sha256"] == hashlib.sha256(base_spans(many).encode()).hexdigest()

@@ -186,6 +186,41 @@ def test_neighbours_recall(spark):
     assert hits / 20 / len(by) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["spread", "clusters"])
+def test_neighbours_where_the_codes_decide(spark, kind):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(20_000, 24))
+    if kind == "clusters":
+        x = 4 * r.normal(size=(40, 24))[r.integers(0, 40, 20_000)] + x
+    x = x.astype(np.float32).astype(float)
+    rows = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).cache()
+    model = ann.model_of(rows, len(x))
+    assert len(model["centres"]) > 5 and (kind == "spread" or model["probes"] <= 0.5 * len(model["centres"]))
+    q = np.arange(0, 20_000, 400)
+    codes = ann.encode(x, model["books"])
+    share = (ann.rough(x[q], model["books"], codes, ann.norm_ratio(x, codes, model["books"])) >= ann.threshold(x[q], model)[:, None]).mean()
+    assert share < 0.1  # of the vectors are scored exactly
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=400).collect()
+    by = {}
+    for row in got:
+        by.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = 0
+    for k in q.tolist():
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits += len(by[k] & set(np.argsort(-s)[:20].tolist()))
+    assert len(by) == len(q) and hits / 20 / len(q) >= 0.9
+
+
+def test_lookup_scores_are_those_of_the_reconstruction():
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(300, 8)), r.normal(size=(5, 8))
+    books = ann.train(x, 4)["books"]
+    codes = ann.encode(x, books)
+    want = np.array([[a @ sum(books[m][c] for m, c in enumerate(row)) for row in codes] for a in q]) * ann.norm_ratio(x, codes, books)
+    assert np.allclose(ann.rough(q, books, codes, ann.norm_ratio(x, codes, books)), want, atol=1e-4)
+
+
 def test_neighbours_few_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], kind)).count() == 0
