@@ -76,3 +76,26 @@ def guarded_timeout(base_ms: int, streak: Column, threshold: int = 3, floor_ms:
 def backoff_cap(attempt: Column, base_ms: int, max_ms: int) -> Column:
     """Upper end of the full-jitter interval: min(max, base * 2^attempt)."""
     return F.least(F.lit(max_ms).cast("double"), base_ms * F.pow(F.lit(2.0), attempt)).cast("long")
+
+
+def win_pct(wins: Column, fires: Column) -> Column:
+    """Hedges won in a hundred; 0 without any."""
+    return F.when(fires == 0, 0).otherwise(F.floor(wins * 100 / F.nullif(fires, F.lit(0)))).cast("long")
+
+
+def should_hedge(elapsed_ms: Column, samples: Column, ema: Column, threshold_pct: int = 150, least_samples: int = 10) -> Column:
+    """After the warm-up: longer than the EMA times the threshold."""
+    return (samples >= least_samples) & (elapsed_ms > F.floor(ema * threshold_pct / 100))
+
+
+def hedge_delay(base_ms: Column, samples: Column, ema: Column, ema_sq: Column, streak: Column, fires: Column, wins: Column, least_samples: int = 10) -> Column:
+    """EMA and deviation; half of it at three failures in a row; three quarters where more than half of five or more hedges won; never below the base."""
+    delay = ema + F.floor(F.sqrt(F.greatest(F.lit(0), ema_sq - ema * ema).cast("double")))
+    delay = F.when(streak >= 3, F.floor(delay / 2)).otherwise(delay)
+    delay = F.when((fires >= 5) & (win_pct(wins, fires) > 50), F.floor(delay * 3 / 4)).otherwise(delay)
+    return F.when(samples < least_samples, base_ms).otherwise(F.greatest(base_ms, delay)).cast("long")
+
+
+def throttled_rate(retry_after_s: Column) -> Column:
+    """Tokens a second after a Retry-After: one in that time, between 0.01 and 1."""
+    return F.greatest(F.lit(0.01), F.lit(1.0) / F.greatest(F.lit(1.0), retry_after_s))

@@ -180,3 +180,40 @@ def context_string(entries: DataFrame, most: int) -> DataFrame:
     total = F.sum(F.octet_length("text") + 1).over(Window.orderBy("rank"))
     kept = entries.withColumn("_t", total).filter(F.col("_t") <= most)
     return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), "\n").alias("context"))
+
+
+def header_map(pairs: Column) -> Column:
+    """A map of header pairs (name, value): a repeated name keeps its last value; values that aren't visible ASCII are left out."""
+    fine = F.filter(pairs, lambda x: x["value"].rlike(r"^[\x20-\x7e]*$"))
+    names = F.array_distinct(F.transform(fine, lambda x: F.lower(x["name"])))
+    last = F.transform(names, lambda n: F.element_at(F.filter(fine, lambda x: F.lower(x["name"]) == n), -1)["value"])
+    return F.map_from_arrays(names, last)
+
+
+def split_headers(headers: Column, prefix: str) -> tuple[Column, Column]:
+    """Headers that a proxy prefixed, without the prefix, and the others."""
+    proxied = F.transform_keys(F.map_filter(headers, lambda k, _: k.startswith(prefix)), lambda k, _: F.substr(k, F.lit(len(prefix) + 1)))
+    return proxied, F.map_filter(headers, lambda k, _: ~k.startswith(prefix))
+
+
+def searched(results: DataFrame, language: str | None = None, country: str | None = None, sites: list[str] | None = None, without_sites: list[str] | None = None, keywords: list[str] | None = None, since: Column | None = None, limit: int = 10, per: str | None = None, ties: str = "url") -> DataFrame:
+    """results (site, lang, text, score, ...) that meet the search options, with their rank, best first; at most `limit` in all, or for each `per`."""
+    from pyspark.sql.window import Window
+
+    tests = [F.col("lang") == language] if language else []
+    tests += [F.col("country") == country] if country else []
+    tests += [F.col("site").isin(*sites)] if sites else []
+    tests += [~F.col("site").isin(*without_sites)] if without_sites else []
+    tests += [F.contains(F.lower("text"), F.lit(k.lower())) for k in keywords or ()]
+    tests += [F.col("ts") >= since] if since is not None else []
+    for t in tests:
+        results = results.filter(t)
+    order = [F.desc("score"), F.asc(ties)]
+    if per is None:
+        results = results.orderBy(*order).limit(limit)
+    return results.withColumn("rank", F.row_number().over(Window.partitionBy(*([per] if per else [F.lit(1)])).orderBy(*order))).filter(F.col("rank") <= limit)
+
+
+def result_urls(results: Column) -> Column:
+    """URLs of an array of results, in order."""
+    return F.transform(results, lambda r: r["url"])

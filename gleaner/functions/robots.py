@@ -97,8 +97,78 @@ def allowed(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "
 
     rules: (rule_host, line, rule, allow), a table by host, joined on the host alone, so no pair of unrelated rows is made.
     """
-    r = F.col("rule")
-    hit = r.isin("*", "/") | (r.endswith("*") & F.col(path).startswith(F.rtrim(r, F.lit("*")))) | (r.endswith("/") & F.col(path).startswith(r)) | (F.col(path) == r)
-    first = F.min(F.when(hit, F.struct("line", "allow")))["allow"]
-    j = urls.join(rules, F.col(host) == F.col("rule_host"), "left")
-    return j.groupBy(*urls.columns).agg(F.coalesce(first, F.lit(True)).alias("allowed"))
+    by_host = rules.groupBy("rule_host").agg(F.array_sort(F.collect_list(F.struct("line", "rule", "allow"))).alias("_rules"))  # a file's rules: few
+    j = urls.join(by_host, F.col(host) == F.col("rule_host"), "left")
+    first = F.get(F.filter("_rules", lambda x: matching(x["rule"], F.col(path))), F.lit(0))["allow"]
+    return j.select(*urls.columns, F.coalesce(first, F.lit(True)).alias("allowed"))
+
+
+ENTRY = "array<struct<agents:array<string>,rules:array<struct<rule:string,allow:boolean>>,delay:double,requests:long,seconds:long>>"
+
+
+def parsed(files: DataFrame, key: str = "host", text: str = "text") -> DataFrame:
+    """(key, entries) of robots.txt files: parse() over each whole file, which is small; a null text has no entries."""
+    from collections.abc import Iterator
+
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text], strict=True):
+                found = parse(t) if isinstance(t, str) else []
+                rows.append((k, [{"agents": e["agents"], "rules": [{"rule": r, "allow": a} for r, a in e["rules"]], "delay": e["delay"], "requests": (e["rate"] or (None, None))[0], "seconds": (e["rate"] or (None, None))[1]} for e in found]))
+            yield pd.DataFrame(rows, columns=[key, "entries"])
+
+    return files.select(key, text).mapInPandas(run, f"{key} {kind}, entries {ENTRY}")
+
+
+def matching(rule, path):
+    """Whether a rule matches a path, as rule_matches()."""
+    prefix = F.substring(rule, F.lit(1), F.length(rule) - 1)
+    return rule.isin("*", "/") | (rule.endswith("*") & path.startswith(prefix)) | (rule.endswith("/") & path.startswith(rule)) | (path == rule)
+
+
+def own_entry(entries, agent):
+    """The first entry that names the agent, by the part of its name before a slash, in any case of letters; null if none does."""
+    name = F.lower(F.substring_index(agent, "/", 1))
+    return F.get(F.filter(entries, lambda e: F.exists(e["agents"], lambda a: (a != "*") & F.contains(name, a))), F.lit(0))
+
+
+def star_entry(entries):
+    return F.get(F.filter(entries, lambda e: F.array_contains(e["agents"], "*")), F.lit(0))
+
+
+def verdicts(requests: DataFrame, files: DataFrame, host: str = "host", path: str = "path", agent: str = "agent", strict: bool = True) -> DataFrame:
+    """requests with allowed, delay, requests and seconds by the entries of their host; every row of requests comes back once.
+
+    One row a host is joined (few and small: a parsed file each), so nothing is multiplied or grouped. Hosts without a
+    file: allowed, no delay.
+    """
+    e = files.select(F.col("host").alias("_rhost"), F.col("entries").alias("_entries"))
+    j = requests.join(e, F.col(host) == F.col("_rhost"), "left").withColumn("_own", own_entry(F.col("_entries"), F.col(agent))).withColumn("_star", star_entry(F.col("_entries")))
+    p = F.col(path)
+
+    def ask(entry):
+        return F.get(F.filter(entry["rules"], lambda r: matching(r["rule"], p)), F.lit(0))["allow"]
+
+    own, star = F.col("_own"), F.col("_star")
+    if strict:
+        allowed_now = F.coalesce(F.when(own.isNotNull(), ask(own)).otherwise(ask(star)), F.lit(True))
+    else:
+        allowed_now = F.when(own.isNotNull() & F.coalesce(ask(own), F.lit(True)), True).otherwise(F.coalesce(ask(star), F.lit(True)))
+    delay = F.when(own.isNotNull(), own["delay"]).otherwise(star["delay"])
+    return j.select(*requests.columns, allowed_now.alias("allowed"), delay.alias("delay"), own["requests"].alias("requests"), own["seconds"].alias("seconds"))
+
+
+def allowed_by_patterns(requests: DataFrame, files: DataFrame, host: str = "host", path: str = "path", agent: str = "agent") -> DataFrame:
+    """The pattern variant: refused where some agent line (or `*`) is found in the agent and some Disallow path, as a pattern, in the path; Allow lines don't count."""
+    patterns = F.filter(F.flatten(F.transform("entries", lambda e: F.transform(F.filter(e["rules"], lambda r: ~r["allow"]), lambda r: r["rule"]))), lambda r: r != "")
+    agents = F.flatten(F.transform("entries", lambda e: e["agents"]))
+    e = files.select(F.col("host").alias("_rhost"), patterns.alias("_patterns"), agents.alias("_agents"))
+    j = requests.join(e, F.col(host) == F.col("_rhost"), "left")
+    named = F.exists("_agents", lambda a: (a == "*") | ((a != "*") & F.rlike(F.lower(F.col(agent)), a)))
+    barred = F.exists("_patterns", lambda r: F.rlike(F.col(path), r))
+    return j.select(*requests.columns, (~F.coalesce(named & barred, F.lit(False))).alias("allowed"))

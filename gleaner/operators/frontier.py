@@ -32,9 +32,10 @@ def unvisited(found: DataFrame, visited: DataFrame, key: str = "url") -> DataFra
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
     """(node, depth) of all nodes within `depth` steps of the seeds, breadth first.
 
-    edges (src, dst) are kept partitioned by src across rounds; each round writes what it found to the shared
-    folder, which cuts the lineage and survives lost executors. Stops when a round finds nothing (or at the limit).
+    edges (src, dst) are written once, distinct, to the shared folder; each round writes there what it found, which cuts
+    the lineage and survives lost executors. Stops when a round finds nothing (or at the limit).
     """
+    edges = materialise(edges.select("src", "dst").distinct())
     found = materialise(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     last = found
     for k in range(1, depth + 1):

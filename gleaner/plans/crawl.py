@@ -56,25 +56,32 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.allowed(pages, rules).select("page_id", "allowed")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
-def visited_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of two thirds whose text isn't among those of the other third, by digest."""
+def _signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sig) of all documents, and the signatures of the labelled ones."""
     d = table(spark, sf_dir, "documents").withColumn("sig", F.md5(F.col("text").cast("binary"))).select("doc_id", "sig")
-    return d.filter("doc_id % 3 <> 0 and sig is not null").join(d.filter("doc_id % 3 = 0").select("sig"), "sig", "left_anti").select("doc_id")
+    return d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("sig").distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)")
+def visited_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't among those already seen (the labelled ones), by digest."""
+    d, seen = _signed(spark, sf_dir)
+    return d.filter("sig is not null").join(seen, "sig", "left_anti").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id))")
 def visited_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("sig", F.md5(F.col("text").cast("binary"))).select("doc_id", "sig")
-    return d.filter("doc_id % 3 <> 0").join(d.filter("doc_id % 3 = 0").select("sig"), "sig", "left_semi").select("doc_id")
+    """Documents whose text is among those already seen."""
+    d, seen = _signed(spark, sf_dir)
+    return d.join(seen, "sig", "left_semi").select("doc_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity > 45 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 45),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4)
 SELECT node, min(depth) AS depth FROM b GROUP BY node""")
 def link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first expansion to depth 4 on a graph of suppliers and parts."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).distinct()
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).distinct()
     edges = li.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(li.select(F.col("p").alias("src"), F.col("s").alias("dst")))
     return frontier.expand(edges, spark.createDataFrame([("s1",)], "node string"), 4)
 
@@ -109,12 +116,19 @@ def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.expr(urls.trie_path(Spark, "url")).alias("node")).agg(F.max("page_id").alias("value"))
 
 
-@query(f"SELECT page_id, 'WARC/1.0' AS version, {Duck.bytes('html')} AS n_bytes, CASE WHEN {Duck.has('html', '^[ ]*<')} THEN 'text/html' ELSE 'text/plain' END AS kind FROM pages WHERE url <> ''")
+_CRLF = "chr(13) || chr(10)"
+
+
+@query(f"""WITH k AS (SELECT page_id, url, html, 1700000000 + page_id AS epoch, CASE WHEN {Duck.has('html', '^[ ]*<')} THEN 'text/html' ELSE 'text/plain' END AS kind FROM pages WHERE url <> ''),
+b AS (SELECT *, concat('HTTP/1.1 200', {_CRLF}, 'Content-Type: ', kind, {_CRLF}, 'Content-Length: ', strlen(html), {_CRLF}, {_CRLF}, html) AS block, md5(url || '|' || epoch) AS h FROM k),
+r AS (SELECT page_id, kind, strlen(html) AS n_bytes, concat('WARC/1.0', {_CRLF}, 'WARC-Type: response', {_CRLF}, 'WARC-Target-URI: ', url, {_CRLF}, 'WARC-Date: ', strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%SZ'), {_CRLF},
+ 'WARC-Record-ID: <urn:uuid:', substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12), '>', {_CRLF}, 'Content-Type: application/http; msgtype=response', {_CRLF}, 'Content-Length: ', strlen(block), {_CRLF}, {_CRLF}, block, {_CRLF}, {_CRLF}) AS record FROM b)
+SELECT page_id, split_part(record, {_CRLF}, 1) AS version, n_bytes, kind, md5(record) AS record_md5 FROM r""")
 def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.sources import sinks
 
-    p = table(spark, sf_dir, "pages").filter("url <> ''").select("page_id", sinks.warc_record(F.col("url"), F.lit(200), F.col("html"), F.lit(0)).alias("record"), "html")
-    return p.select("page_id", F.substring_index("record", "\r\n", 1).alias("version"), F.octet_length("html").cast("long").alias("n_bytes"), sinks.content_type(F.col("html")).alias("kind"))
+    p = table(spark, sf_dir, "pages").filter("url <> ''").select("page_id", sinks.warc_record(F.col("url"), F.lit(200), F.col("html"), 1_700_000_000 + F.col("page_id")).alias("record"), "html")
+    return p.select("page_id", F.substring_index("record", "\r\n", 1).alias("version"), F.octet_length("html").cast("long").alias("n_bytes"), sinks.content_type(F.col("html")).alias("kind"), F.md5(F.col("record").cast("binary")).alias("record_md5"))
 
 
 @query(f"SELECT h AS host, count(*) AS n FROM (SELECT {urls.host(Duck, 'url')} AS h, {html.empty_body(Duck, 'html')} AS e FROM pages) WHERE NOT e GROUP BY h HAVING count(*) >= 2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,20 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), "event_id", F.floor(F.col("value") * 100).cast("long").alias("latency_ms"), status.alias("status"), (kind != "error").alias("ok"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df into the folder that executors share (spark.checkpoint.dir; our own only where that is unset) and read it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir; our own only where that is unset and all runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), f"gleaner-{os.getpid()}")
-    path = f"{found.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df into the folder that executors share and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,7 +54,6 @@ def materialise(df: DataFrame) -> DataFrame:
 def expand_glob(url: str) -> list[str]:
     """Seeds of a URL template: `{a,b}` lists, `[1-10:2]` and `[a-c]` ranges with zero padding; no pattern: none."""
     import itertools
-    import re
 
     parts = re.split(r"(\{[^{}]*\}|\[[^\[\]]*\])", url)
     options, found = [], False
