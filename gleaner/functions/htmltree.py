@@ -349,3 +349,55 @@ def transformed(pages: DataFrame) -> DataFrame:
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string, markdown string")
 
+
+
+def base_url(root: Element, url: str) -> str:
+    """What relative links are resolved against: the first base element's href, itself resolved, else the page's URL."""
+    from urllib.parse import urljoin
+
+    href = next((e.attrs["href"] for e in root.walk() if e.name == "base" and e.attrs.get("href")), "")
+    return urljoin(url, href) if href else url
+
+
+def links(pages: DataFrame, url: str = "url", html: str = "html", xml: bool = False) -> DataFrame:
+    """(page_id, place, href, link): the links of each page in order, resolved; what can't be resolved keeps a null link."""
+    from urllib.parse import urljoin
+
+    def resolved(base: str, href: str) -> str | None:
+        try:
+            return urljoin(base, href.strip())
+        except ValueError:
+            return None
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, u, h in zip(b["page_id"], b[url], b[html], strict=True):
+                base = base_url(tree(h), u or "")
+                rows += [(i, k, href, resolved(base, href)) for k, href in enumerate(link_list(h, xml))]
+            yield pd.DataFrame(rows, columns=["page_id", "place", "href", "link"])
+
+    return pages.select("page_id", url, html).mapInPandas(run, "page_id long, place long, href string, link string")
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """One pass over each body for all that a crawl takes from it: links, images, title, headings, bytes of text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, h in zip(b["page_id"], b["html"], strict=True):
+                count, title = {"a": 0, "img": 0, "h1": 0}, None
+                for e in tree(h).walk():
+                    if e.name in count and (e.name != "a" or e.attrs.get("href")):
+                        count[e.name] += 1
+                    elif e.name == "title" and title is None:
+                        title = element_text(e)
+                rows.append((i, count["a"], count["img"], count["h1"], title, len((h or "").encode())))
+            yield pd.DataFrame(rows, columns=["page_id", "n_links", "n_images", "n_headings", "title", "n_bytes"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, n_links long, n_images long, n_headings long, title string, n_bytes long")

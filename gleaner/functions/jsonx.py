@@ -160,3 +160,10 @@ def tool_calls(root: dict) -> list[dict]:
     if calls:
         return [{"id": c.get("id"), "name": (c.get("function") or {}).get("name"), "arguments": (c.get("function") or {}).get("arguments")} for c in calls]
     return [{"id": c.get("id"), "name": c.get("name"), "arguments": c.get("input")} for c in root.get("content") or [] if isinstance(c, dict) and c.get("type") == "tool_use"]
+
+
+def refine(current: dict, examples: list) -> dict:
+    """A generated schema (schema, name, examples, confidence) merged with the schema of more examples."""
+    merged = merge_schemas([current["schema"], merge_schemas([infer_schema(x) for x in examples])] if examples else [current["schema"]])
+    n = current["examples"] + len(examples)
+    return {**current, "schema": merged, "examples": n, "confidence": 0.5 if n <= 2 else 0.7 if n <= 5 else 0.85 if n <= 10 else 0.95}

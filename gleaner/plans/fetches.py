@@ -83,13 +83,6 @@ def latest_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch_log(spark, sf_dir).groupBy("host").agg(F.sum("latency_ms").alias("spent_ms"), F.max_by("url", "ts").alias("last_url"), F.max_by("status", "ts").alias("fresh_status"), (F.max("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("is_fresh"))
 
 
-@query()
-def token_bucket_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fetch_log(spark, sf_dir).groupBy("host").agg(folds.ordered(F.unix_millis("ts")).alias("t"))
-    s = folds.token_bucket(F.col("t"), 0.001, 5)
-    return f.select("host", s.alias("s")).select("host", F.round("s.wait", 3).alias("last_wait_ms"), F.col("s.denied").alias("n_denied"))
-
-
 def _detect(d) -> str:
     return f"page_id, {blocks.from_url(d, 'url')} AS by_url, {blocks.from_body(d, 'html')} AS by_body, {blocks.soft_block(d, 'html')} AS soft_block, {blocks.smart_fallback(d, '200', 'html')} AS falls_back, {blocks.captcha(d, 'html')} AS has_captcha"
 

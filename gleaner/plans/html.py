@@ -137,12 +137,6 @@ def clean_html_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def css_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named selectors to lists of texts."""
-    return htmltree.selected(table(spark, sf_dir, "pages"), {"title": ["title", "h1"], "paragraphs": ["article p"], "nav": ["nav a[href]"], "ads": ["div.ad"]})
-
-
-@query()
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text form of each page, and its Markdown form."""
-    return htmltree.transformed(table(spark, sf_dir, "pages"))
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown form of each page; the text form is forms.text_form."""
+    return htmltree.transformed(table(spark, sf_dir, "pages")).select("page_id", "markdown")
