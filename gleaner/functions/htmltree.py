@@ -401,3 +401,74 @@ def features(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "n_links", "n_images", "n_headings", "title", "n_bytes"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, n_links long, n_images long, n_headings long, title string, n_bytes long")
+
+
+STEP = re.compile(r"(//|/)(?:(@)([\w-]+)|(text\(\))|([a-zA-Z][\w-]*|\*)((?:\[[^\]]*\])*))")
+TEST = re.compile(r"\[(?:(\d+)|@([\w-]+)(?:\s*=\s*['\"]([^'\"]*)['\"])?|contains\(\s*@([\w-]+)\s*,\s*['\"]([^'\"]*)['\"]\s*\))\]")
+
+
+def compile_xpath(path: str) -> list[tuple]:
+    """Steps of a location path: child and descendant axes, names, `*`, [n], [@a], [@a='v'], [contains(@a, 'v')], and at the end @a or text(). Others raise."""
+    steps, at = [], 0
+    for m in STEP.finditer(path):
+        if m.start() != at:
+            raise ValueError(f"not understood: {path[at:]}")
+        at = m.end()
+        tests = [t.groups() for t in TEST.finditer(m[6] or "")]
+        if sum(len(t[0]) for t in TEST.finditer(m[6] or "")) != len(m[6] or ""):
+            raise ValueError(f"not understood: {m[6]}")
+        steps.append((m[1] == "//", m[3], bool(m[4]), m[5], tests))
+    if not steps or at != len(path) or any(s[1] or s[2] for s in steps[:-1]):
+        raise ValueError(f"not understood: {path}")
+    return steps
+
+
+def xpath(root: Element, path: str) -> list[str]:
+    """Texts of what the path selects, in page order."""
+    now: list = [root]
+    for deep, attribute, text, name, tests in compile_xpath(path):
+        if attribute:
+            return [e.attrs[attribute] for e in now if attribute in e.attrs]
+        if text:
+            return [t.strip() for e in now for t in e.children if not isinstance(t, (Element, Comment)) and t.strip()]
+        found, seen = [], set()
+        for e in now:
+            for p in [e, *(x for x in e.walk() if x is not e)] if deep else [e]:
+                same = [c for c in p.children if isinstance(c, Element) and (name == "*" or c.name == name.lower())]
+                for number, has, value, within, part in tests:
+                    same = same[int(number) - 1 : int(number)] if number else [c for c in same if (has in c.attrs and (value is None or c.attrs[has] == value) if has else part in c.attrs.get(within, ""))]
+                for c in same:
+                    if id(c) not in seen:
+                        seen.add(id(c))
+                        found.append(c)
+        order = {id(e): k for k, e in enumerate(root.walk())}
+        now = sorted(found, key=lambda e: order[id(e)])
+    return [x for x in (element_text(e) for e in now) if x]
+
+
+def xpath_selected(pages: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """(page_id, name, texts) of named location paths."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, h in zip(b["page_id"], b["html"], strict=True):
+                root = tree(h)
+                rows += [(i, n, xpath(root, p)) for n, p in paths.items()]
+            yield pd.DataFrame(rows, columns=["page_id", "name", "texts"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, name string, texts array<string>")
+
+
+def smart_cleaned(pages: DataFrame, profile: str = "profile") -> DataFrame:
+    """(page_id, profile, cleaned): each page cleaned by the profile that its own analysis chose."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"page_id": b["page_id"], "profile": b[profile], "cleaned": [clean(h, p) for h, p in zip(b["html"], b[profile], strict=True)]})
+
+    return pages.select("page_id", profile, "html").mapInPandas(run, "page_id long, profile string, cleaned string")

@@ -80,3 +80,39 @@ def processed(rows: DataFrame, column: str, work: Callable, size: int = 100, out
 def capped_signature(signature: Column, body: Column, most: int = 16 * 1024 * 1024) -> Column:
     """The signature of a body of at most that many bytes; null beyond."""
     return F.when(F.octet_length(body) <= most, signature)
+
+
+def prefetched(rows: DataFrame) -> DataFrame:
+    """rows, kept by the executors (memory, then disk) from now on."""
+    kept = rows.persist()
+    kept.count()
+    return kept
+
+
+def scripted(rows: DataFrame, code: str, out: str = "result", kind: str = "string") -> DataFrame:
+    """rows with `out`: what the caller's own Python code leaves in `result`, given a row's columns as names; null where it raises.
+
+    There is no sandbox: the code runs in the Python workers with their rights, so it must be the caller's own. Each row
+    has fresh names.
+    """
+    from collections.abc import Iterator
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    names = rows.columns
+
+    def run(batches: Iterator) -> Iterator:
+        program = compile(code, "script", "exec")
+        for b in batches:
+            got = []
+            for row in b.to_dict("records"):
+                try:
+                    exec(program, row)
+                    got.append(row.get("result"))
+                except Exception:
+                    got.append(None)
+            b = b.copy()
+            b[out] = got
+            yield b[[*names, out]]
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, *_parse_datatype_string(f"{out} {kind}").fields]))

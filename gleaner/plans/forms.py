@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import folds, htmltree, responses
+from gleaner.functions.dialect import Duck, Spark
 from gleaner.plans.fetches import LOG
 from gleaner.plans.registry import query
 from gleaner.sources.tables import fetch_log, table
@@ -110,3 +111,44 @@ def cleaning_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" of "), F.col("source"))
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(*[label if p == "{text}" else F.lit(p) for p in _PIECES]).alias("html"))
     return htmltree.cleaned(pages).select("page_id", "mode", "digest")
+
+
+_HREFS = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1)"
+
+
+@query(f"""SELECT page_id, 'heading' AS name, [{_TEXT.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}] AS texts FROM pages UNION ALL SELECT page_id, 'hrefs', list_transform({_HREFS}, lambda x: {_decoded('x')}) FROM pages
+UNION ALL SELECT page_id, 'second', [{_HREFS}[2]] FROM pages UNION ALL SELECT page_id, 'ads', [{_TEXT.format("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}] FROM pages UNION ALL SELECT page_id, 'charset', ['utf-8'] FROM pages""".replace("texts FROM", "texts FROM"))
+def xpath_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What location paths select on each page."""
+    paths = {"heading": "//article/h1", "hrefs": "//nav//a/@href", "second": "/html/body/nav/ul/li[2]/a/@href", "ads": "//div[@class='ad']", "charset": "//meta[@charset]/@charset"}
+    return htmltree.xpath_selected(table(spark, sf_dir, "pages"), paths)
+
+
+def _template(label: str, filler: str) -> str:
+    """The page of _PIECES with a script of a size of its own, as SQL for either engine."""
+    return "concat(" + ", ".join(label if p == "{text}" else f"concat('<script>', {filler}, '</script>')" if p == "<script>a</script>" else "'" + p + "'" for p in _PIECES) + ")"
+
+
+_SMART = "SELECT doc_id AS page_id, url, {0} AS html FROM (SELECT doc_id, concat('https://h.test/', source) AS url, concat('doc ', source, repeat(' word', 40)) AS label, repeat('x', CAST(doc_id % 4 * 40 AS INT)) AS filler FROM {1}) AS d"
+
+
+def _smart_oracle() -> str:
+    from gleaner.plans import html as plans_html
+
+    inner = _SMART.format(_template("label", "filler"), "documents")
+    chosen = plans_html._PROFILES.format(plans_html._analysis(Duck, f"({inner}) AS p", False))
+    left = {"slim": "slim_agent", "aggressive": "full_agent", "default": "base", "minimal": "base"}
+    case = "CASE c.general " + " ".join(f"WHEN '{p}' THEN {_concat(_kept(m, 'label'))}" for p, m in left.items()) + " END"
+    return f"SELECT d.doc_id AS page_id, c.general AS profile, md5({case}) AS digest FROM (SELECT doc_id, concat('doc ', source, repeat(' word', 40)) AS label FROM documents) AS d JOIN ({chosen}) AS c ON c.page_id = d.doc_id"
+
+
+@query(_smart_oracle())
+def smart_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cleaned by the profile that their own analysis chooses."""
+    from gleaner.plans import html as plans_html
+
+    d = table(spark, sf_dir, "documents")
+    pages = spark.sql(_SMART.format(_template("label", "filler"), "{docs}"), docs=d)
+    chosen = spark.sql(plans_html._PROFILES.format(plans_html._analysis(Spark, "{p}", False)), p=pages)
+    both = pages.join(chosen.select("page_id", F.col("general").alias("profile")), "page_id")
+    return htmltree.smart_cleaned(both).select("page_id", "profile", F.md5(F.col("cleaned").cast("binary")).alias("digest"))

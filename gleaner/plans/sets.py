@@ -103,3 +103,9 @@ def refined_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     each = e.mapInPandas(shapes, "event_type string, schema string, n long").groupBy("event_type", "schema").agg(F.sum("n").alias("n"))  # few shapes
     return each.groupBy("event_type").applyInPandas(merge, "event_type string, schema string, confidence double, examples long")
+
+
+@query("SELECT doc_id, length(text) * 2 AS twice FROM documents")
+def scripted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller's own code on each row; null where it raises."""
+    return sets.scripted(table(spark, sf_dir, "documents").select("doc_id", "text"), "result = len(text) * 2", "twice", "long").select("doc_id", "twice")
