@@ -67,7 +67,8 @@ def vendor_or_custom(d, builtin: str, url: str, body: str, url_marks: list[str],
 
 
 def crawlable_class(kind: str) -> str:
-    return f"({kind} in ('html', 'xml'))"
+    """Classes of content_class() whose links are followed."""
+    return f"({kind} in ('Html', 'Xml'))"
 
 
 #: First bytes (hexadecimal) of common binary formats: PDF, GIF, PNG, JPEG, ZIP, GZIP, RIFF, OGG, ID3, ELF, wasm, bzip2, 7z, woff.

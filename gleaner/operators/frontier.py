@@ -60,3 +60,30 @@ def fit_to_budget(pages: DataFrame, most_pages: int, tokens: int, most_each: int
     ranked = pages.withColumn("rank", F.row_number().over(w.orderBy(F.desc("relevance"), "page_id"))).filter(F.col("rank") <= most_pages)
     share = F.least(F.floor(F.lit(tokens) / F.count(F.lit(1)).over(w)), F.lit(most_each)).cast("long")
     return ranked.withColumn("share", share).withColumn("text", F.expr("substring(text, 1, cast(share * 4 as int))"))
+
+
+def relevant(pages: DataFrame, least: float, relevance: str = "relevance") -> DataFrame:
+    """Pages at or above a relevance, for fit_to_budget()."""
+    return pages.filter(F.col(relevance) >= least)
+
+
+def crawl(seeds: DataFrame, links: DataFrame, depth: int, gate: Column | None = None, host: Column | None = None, budget: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """(url, depth) of a breadth-first crawl: in each round the links (src, url, ...) of the pages just visited that pass the gate, weren't visited, and fit what is left of their host's budget.
+
+    Links are written once, distinct; each round writes what it visits to the shared folder. The seeds are always visited.
+    """
+    links = materialise(links.filter(gate) if gate is not None else links)
+    seen = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    last = seen
+    for k in range(1, depth + 1):
+        found = links.join(last.select(F.col("url").alias("src")), "src", "left_semi").drop("src").dropDuplicates(["url"]).join(seen.select("url"), "url", "left_anti")
+        if budget is not None:
+            spent = seen.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("_spent"))
+            w = Window.partitionBy("_host").orderBy(*(order or [F.asc("url")]))
+            ranked = found.withColumn("_host", host).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= budget)  # pruned before the shuffle
+            found = ranked.join(spent, "_host", "left").filter(F.col("_rn") + F.coalesce("_spent", F.lit(0)) <= budget)
+        new = materialise(found.select("url", F.lit(k).alias("depth")))
+        if new.isEmpty():
+            break
+        seen, last = seen.unionByName(new), new
+    return seen

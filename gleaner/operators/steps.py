@@ -131,3 +131,17 @@ def diff_totals(rounds: DataFrame, key: str) -> DataFrame:
     g = rounds.groupBy(key).agg(F.count(F.lit(1)).alias("rounds"), F.sum("original").alias("original_bytes"), condensed.alias("condensed_bytes"), F.count_if("changed").alias("rounds_with_changes"))
     saved = F.col("original_bytes") - F.col("condensed_bytes")
     return g.select(key, "rounds", "original_bytes", "condensed_bytes", F.round(1 - F.col("condensed_bytes") / F.col("original_bytes"), 6).alias("savings"), F.greatest(F.lit(0), saved).alias("bytes_saved"), "rounds_with_changes")
+
+
+def ready(steps: DataFrame, done: DataFrame) -> DataFrame:
+    """Steps (id, depends_on) that aren't done and whose needs all are."""
+    needs = steps.select("id", F.explode("depends_on").alias("need"))
+    waiting = needs.join(done.select(F.col("id").alias("need")), "need", "left_anti").select("id").distinct()
+    return steps.join(done.select("id"), "id", "left_anti").join(waiting, "id", "left_anti").select("id")
+
+
+def latest_fresh(snapshots: DataFrame, key: str, stamp: str, ttl: str, now: Column) -> DataFrame:
+    """The latest snapshot of each key, if it is still fresh (strictly)."""
+    names = [c for c in snapshots.columns if c != key]
+    last = snapshots.groupBy(key).agg(F.max_by(F.struct(*names), stamp).alias("_r")).select(key, "_r.*")
+    return fresh(last, stamp, ttl, now)

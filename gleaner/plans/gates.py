@@ -120,3 +120,16 @@ def _bases(d, t: str) -> str:
 def base_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base element of a page, a third of which get one."""
     return spark.sql(_bases(Spark, "{pages}"), pages=table(spark, sf_dir, "pages"))
+
+
+_KINDS = ["text/html", "text/xml; charset=x", "image/png", "application/json", "application/xhtml+xml", "font/woff"]
+
+
+@query("SELECT page_id, page_id % 6 IN (0, 1, 4) AS crawled, page_id % 6 IN (2, 5) AS is_binary FROM pages")
+def crawlable_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which content types are crawled for links, and which are binary."""
+    from gleaner.functions import blocks
+
+    ct = F.get(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % len(_KINDS)).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", ct.alias("ct"))
+    return p.selectExpr("page_id", gates.crawlable_class(html.content_class(Spark, "ct")) + " AS crawled", blocks.binary_type(Spark, "ct") + " AS is_binary")

@@ -7,6 +7,7 @@ import unicodedata
 from hashlib import md5
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +37,16 @@ def warc_info(software: str) -> str:
     return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, software: str = "gleaner") -> None:
+def write_warc(pages: DataFrame, path: str, software: str = "gleaner", mode: str = "error") -> None:
     """One file a task, each beginning with a warcinfo record."""
     records = pages.select(warc_record(F.col("url"), F.col("status"), F.col("html"), F.col("epoch")).alias("value")).filter("value is not null")
 
     def headed(batches):
-        import pandas as pd
-
         yield pd.DataFrame({"value": [warc_info(software)]})
         yield from batches
 
     # Records end in a line feed, which the text sink adds.
-    records.mapInPandas(headed, "value string").select(F.expr("substr(value, 1, length(value) - 1)").alias("value")).write.text(path, lineSep="\n")
+    records.mapInPandas(headed, "value string").select(F.expr("substr(value, 1, length(value) - 1)").alias("value")).write.mode(mode).text(path, lineSep="\n")
 
 
 def write_json(pages: DataFrame, path: str) -> None:
@@ -87,3 +86,20 @@ def local_path(url_path: str) -> str:
     if url_path.endswith("/") or "." not in out[-1]:
         out[-1] += ".html"
     return "/".join(out)
+
+
+def with_local_path(rows: DataFrame, url_path: str, out: str = "local_path") -> DataFrame:
+    """rows with the file path of a URL path column, in Arrow batches."""
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else local_path(x))
+
+    return rows.withColumn(out, F.pandas_udf(run, "string")(F.col(url_path)))
+
+
+def warc_sink(path: str, software: str = "gleaner"):
+    """A subscriber for streaming.events.fan_out: each batch (url, status, html, epoch) as WARC files in a folder of its own, so that running a batch again adds nothing."""
+
+    def sink(rows: DataFrame, number: int) -> None:
+        write_warc(rows, f"{path}/batch={number}", software, mode="overwrite")
+
+    return sink
