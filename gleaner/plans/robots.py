@@ -47,7 +47,7 @@ own AS (SELECT page_id, arg_min(allow, line) AS allow FROM q JOIN r ON q.f = r.f
 
 
 @query(_BASE + f"""SELECT page_id, CASE WHEN bot AND f IN (1, 2) THEN coalesce(own.allow, true) ELSE coalesce(star.allow, true) END AS allowed,
-CASE WHEN bot AND f IN (1, 2) THEN CASE f {' '.join(f'WHEN {f} THEN {d if d is not None else "NULL"}' for f, (d, _, _) in OWN.items())} END ELSE CASE f {' '.join(f'WHEN {f} THEN {d if d is not None else "NULL"}' for f, d in DELAYS.items())} END END AS delay,
+CASE WHEN bot AND f IN (1, 2) THEN CASE f {' '.join(f'WHEN {f} THEN CAST({d if d is not None else "NULL"} AS DOUBLE)' for f, (d, _, _) in OWN.items())} END ELSE CASE f {' '.join(f'WHEN {f} THEN CAST({d if d is not None else "NULL"} AS DOUBLE)' for f, d in DELAYS.items())} END END AS delay,
 CASE WHEN bot AND f = 1 THEN CAST(3 AS BIGINT) END AS requests, CASE WHEN bot AND f = 1 THEN CAST(20 AS BIGINT) END AS seconds FROM q LEFT JOIN own USING (page_id) LEFT JOIN star USING (page_id)""")
 def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page under two agents' names against the parsed file of its host: verdict, crawl delay, request rate."""

@@ -76,7 +76,7 @@ def capped_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sets.capped_signature(F.expr(html.signature(Spark, "html")), F.col("html"), 4000).alias("signature"))
 
 
-@query("""SELECT event_type, '{"properties": {"k": {"type": "integer"}, "t": {"oneOf": [{"type": "integer"}, {"type": "string"}]}, "u": {"type": "boolean"}}, "required": ["k", "t"], "type": "object"}' AS schema, 0.95 AS confidence, count(*) AS examples FROM events GROUP BY event_type""")
+@query("""SELECT event_type, '{"properties": {"k": {"type": "integer"}, "t": {"oneOf": [{"type": "integer"}, {"type": "string"}]}, "u": {"type": "boolean"}}, "required": ["k", "t"], "type": "object"}' AS schema, CAST(0.95 AS DOUBLE) AS confidence, count(*) AS examples FROM events GROUP BY event_type""")
 def refined_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema of each event type's props: one for each shape, refined by one after another."""
     k, n = F.get_json_object("props", "$.k"), F.col("event_id")
