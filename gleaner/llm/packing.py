@@ -5,14 +5,18 @@ is longer than one, then the rest, which goes where it leaves the least room. Wh
 is emitted (and the piece starts a new one); where the fullest still has more room than SLACK, the piece is cut to
 fill it first, so padding stays under SLACK / LENGTH. What is open at a task's end is merged: the leftovers of FAN
 tasks meet in one task, where they are joined and cut to full windows; the last less-than-a-window of tokens is
-written as sequences of powers of two, which need no padding. A merging task holds at most FAN * OPEN windows.
+written as sequences of powers of two, which need no padding. What the first step gives is written to the shared folder
+once, so a lost executor can't change what was packed; of it the leftovers alone are shuffled, and a merging task holds
+at most FAN * OPEN windows.
 
 The tokenizer is slow on text and fast on words, so each worker keeps a bounded table of words already met. Only
 splits that cannot change ids are used (blanks and line ends; a run of Latin letters before punctuation), and what
 isn't surely plain goes to the tokenizer as it is.
 
 Defined results. Null and empty texts: the end id alone. Repeated rows and null ids: each row by itself, in its own
-pieces. Empty table: no rows. Sequence ids are unique, not gapless: (task or merging group, number in it).
+pieces. Of windows with equal room, the one opened first is taken. A text longer than a window fills whole ones of its
+own. Extra columns, of any name, are left aside. Empty table: no rows. Sequence ids are unique, not gapless: (task or
+merging group, number in it).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import public_tokenizer
+from gleaner.llm.common import materialise, public_tokenizer
 
 LENGTH, END, OPEN, SLACK, FAN = 4096, 2, 32, 64, 8
 MAX_KNOWN = 400_000
@@ -188,17 +192,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
         yield frame(out)
 
     def second(batch):
-        done = batch[batch["ids"].isna()]
-        left = batch[batch["ids"].notna()].sort_values(["sequence_id", "offset"])
+        left = batch.sort_values(["sequence_id", "offset"])
         grp = int(batch["grp"].iloc[0])
         pieces = [((key(r.doc_id), r.doc_tokens), r.start, bytes(r.ids)) for r in left.itertuples()]
         out: list = []
         for n, w in enumerate(merge([pieces], length)):
             out += rows(w, (1 << 62) + (grp << 36) + n, False, grp)
-        import pandas as pd
-
-        more = frame(out)
-        return pd.concat([done, more], ignore_index=True)[names] if len(more) else done[names]
+        return frame(out)
 
-    packed = docs.select("doc_id", "text").mapInPandas(first, schema)
-    return packed.groupBy("grp").applyInPandas(second, schema).drop("ids", "grp")
+    packed = materialise(docs.select("doc_id", "text").mapInPandas(first, schema))
+    merged = packed.filter("ids is not null").groupBy("grp").applyInPandas(second, schema)
+    return packed.filter("ids is null").unionByName(merged).drop("ids", "grp")
