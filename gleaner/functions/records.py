@@ -83,6 +83,11 @@ def diff_text(url: Column, title: Column, changed: Column, added: Column, remove
     return F.concat_ws("\n", F.concat(F.lit("URL: "), url), F.concat(F.lit("TITLE: "), title), part("CHANGED", changed), part("NEW", added), part("REMOVED", removed), F.concat(F.lit("UNCHANGED: "), same.cast("string")))
 
 
+def savings(n_changes: Column, condensed_bytes: Column, original_bytes: Column) -> Column:
+    """Share of bytes that a condensed diff saves; 0.95 where nothing changed."""
+    return F.when(n_changes == 0, 0.95).otherwise(1.0 - condensed_bytes / original_bytes)
+
+
 def diff_or_full(initial: Column, savings: Column, least: float, full: Column, condensed: Column) -> Column:
     return F.when(initial | (savings < least), full).otherwise(condensed)
 
@@ -162,11 +167,18 @@ def recall(records: DataFrame, query: str, k: int, least: float = 0.0, text: str
     counts = {w: words.count(w) for w in set(words)}
     norm = sum(n * n for n in counts.values()) ** 0.5
     bag = F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1))
-    per = records.withColumn("_bag", bag).withColumn("_u", F.array_distinct("_bag"))
-    squares = F.aggregate("_u", F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter("_bag", lambda x: x == w)).cast("double"), 2))
+    per = records.withColumn("_bag", F.array_sort(bag))
+    # Equal words lie together: a run that grows from n to n + 1 adds 2n + 1 to the sum of squares.
+    zero = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(w == acc["word"], acc["run"]).otherwise(0.0)
+        return F.struct(w.alias("word"), (run + 1.0).alias("run"), (acc["sum"] + 2.0 * run + 1.0).alias("sum"))
+
+    squares = F.aggregate("_bag", zero, step, lambda acc: acc["sum"])
     dot = sum((F.size(F.filter("_bag", _equals(w))) * float(n) for w, n in sorted(counts.items())), F.lit(0.0))
     per = per.withColumn("relevance", F.coalesce(F.try_divide(dot, F.sqrt(squares) * norm), F.lit(0.0)))
-    return per.filter(F.col("relevance") >= least).orderBy(F.desc("relevance"), "id").limit(k).drop("_bag", "_u")
+    return per.filter(F.col("relevance") >= least).orderBy(F.desc("relevance"), "id").limit(k).drop("_bag")
 
 
 def _equals(word: str):

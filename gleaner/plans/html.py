@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions import html, htmltree, urls
+from gleaner.functions import html, htmltree, records, urls
 from gleaner.functions.dialect import Duck, Spark
 from gleaner.plans.registry import query
 from gleaner.sources.tables import table
@@ -105,20 +105,45 @@ j AS (SELECT r.page_id, coalesce(n.path, o.path) AS path, o.hash AS old, n.hash
 SELECT page_id, count(*) FILTER (old IS NULL) AS n_added, count(*) FILTER (new IS NULL) AS n_removed, count(*) FILTER (old <> new) AS n_changed, count(*) FILTER (old = new) AS n_same FROM j GROUP BY page_id"""
 
 
+def element_changes(pages: DataFrame) -> DataFrame:
+    """(page_id, path, old, new): the elements of each page and of the one before it of its host. Elements are hashed once and meet their predecessors in one window by host and path."""
+    by_host = Window.partitionBy("host").orderBy("page_id")
+    order = pages.select("page_id", F.expr(urls.host(Spark, "url")).alias("host")).select("page_id", "host", F.row_number().over(by_host).alias("no"), F.lead("page_id").over(by_host).alias("next"))
+    w = Window.partitionBy("host", "path").orderBy("no")
+    e = element_hashes(pages).join(order, "page_id")
+    e = e.select("page_id", "path", "hash", "no", "next", F.lag(F.struct("no", "hash")).over(w).alias("was"), F.lead("no").over(w).alias("then"))
+    now = e.filter("no > 1").select("page_id", "path", F.when(F.col("was.no") == F.col("no") - 1, F.col("was.hash")).alias("old"), F.col("hash").alias("new"))
+    gone = e.filter(F.col("next").isNotNull() & ~F.col("then").eqNullSafe(F.col("no") + 1)).select(F.col("next").alias("page_id"), "path", F.col("hash").alias("old"), F.lit(None).cast("string").alias("new"))
+    return now.unionByName(gone)
+
+
 @query(_DIFF)
 def page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page against the one before it of its host: elements added, removed, changed and unchanged."""
-    pages = table(spark, sf_dir, "pages")
-    rounds = pages.select("page_id", F.lag("page_id").over(Window.partitionBy(F.expr(urls.host(Spark, "url"))).orderBy("page_id")).alias("before")).filter("before is not null")
-    e = element_hashes(pages)
-    new = e.join(rounds, "page_id").select("page_id", "path", F.col("hash").alias("new"))
-    old = e.withColumnRenamed("page_id", "before").join(rounds, "before").select("page_id", "path", F.col("hash").alias("old"))
-    j = new.join(old, ["page_id", "path"], "full")
+    j = element_changes(table(spark, sf_dir, "pages"))
     return j.groupBy("page_id").agg(
         F.count_if(F.col("old").isNull()).alias("n_added"), F.count_if(F.col("new").isNull()).alias("n_removed"),
         F.count_if(F.col("old") != F.col("new")).alias("n_changed"), F.count_if(F.col("old") == F.col("new")).alias("n_same"))
 
 
+_LISTS = " || ".join(f"CASE WHEN len({c}) > 0 THEN chr(10) || '{name}:' || chr(10) || array_to_string({c}, chr(10)) ELSE '' END" for c, name in (("changed", "CHANGED"), ("added", "NEW"), ("removed", "REMOVED")))
+
+
+@query(_DIFF[: _DIFF.rindex("SELECT page_id, count(*)")] + f""", l AS (SELECT page_id, coalesce(list(path ORDER BY path) FILTER (old <> new), []) AS changed, coalesce(list(path ORDER BY path) FILTER (old IS NULL), []) AS added, coalesce(list(path ORDER BY path) FILTER (new IS NULL), []) AS removed, count(*) FILTER (old = new) AS same FROM j GROUP BY page_id),
+t AS (SELECT l.*, html, 'URL: ' || url || chr(10) || 'TITLE: ' || {html.title(Duck, 'html')} || {_LISTS} || chr(10) || 'UNCHANGED: ' || same AS text FROM l JOIN pages USING (page_id))
+SELECT page_id, md5(text) AS digest, round(CASE WHEN len(changed) + len(added) + len(removed) = 0 THEN 0.95 ELSE 1 - strlen(text) / strlen(html) END, 6) AS savings, CASE WHEN CASE WHEN len(changed) + len(added) + len(removed) = 0 THEN 0.95 ELSE 1 - strlen(text) / strlen(html) END < 0.5 THEN 'full' ELSE 'condensed' END AS sent FROM t""")
+def page_diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condensed text of each page's diff, what it saves, and whether it or the page is sent on. Lists of paths have at most 8 + 5 x 101 elements a page."""
+    pages = table(spark, sf_dir, "pages")
+    paths = lambda test: F.collect_list(F.when(test, F.col("path")))
+    old, new = F.col("old"), F.col("new")
+    g = element_changes(pages).groupBy("page_id").agg(paths(old != new).alias("changed"), paths(old.isNull()).alias("added"), paths(new.isNull()).alias("removed"), F.count_if(old == new).alias("same"))
+    t = g.join(pages.select("page_id", "url", F.expr(html.title(Spark, "html")).alias("title"), F.octet_length("html").alias("n")), "page_id")
+    t = t.withColumn("text", records.diff_text(F.col("url"), F.col("title"), F.col("changed"), F.col("added"), F.col("removed"), F.col("same")))
+    saved = records.savings(F.size("changed") + F.size("added") + F.size("removed"), F.octet_length("text"), F.col("n"))
+    return t.select("page_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.round(saved, 6).alias("savings"), records.diff_or_full(F.lit(False), saved, 0.5, F.lit("full"), F.lit("condensed")).alias("sent"))
+
+
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def text_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null")

@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from gleaner.plans import caches, crawl, fetches, forms, gates, html, jsons, models, records, robots, rules, sets, streams, urls  # noqa: F401
+    from gleaner.plans import caches, crawl, fetches, forms, gates, html, jsons, memory, models, records, robots, rules, sets, streams, urls  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
