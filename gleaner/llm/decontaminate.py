@@ -3,11 +3,14 @@
 Method: a broadcast hash set of normalised test n-grams. Training texts are scanned window by window inside
 one code-generated span (regexp -> explode of window positions -> hash -> broadcast hash probe), so that a
 window is a few registers and never a shuffled row; only hits and one marker row per document are shuffled.
-A probe that hits by hash is verified by comparing the words themselves.
+A probe that hits by hash is verified by comparing the words themselves. The set is broadcast in slices of at most
+SLICE_WINDOWS windows and about SLICE_BYTES bytes, by hash; there is one for all but huge benchmarks, and each further
+one scans the texts again. So what is broadcast is bounded, and no text is shuffled.
 
 Defined results. Null text: no words, no hits. Null ids and repeated ids: each input row is reported by
 itself (rows are told apart by id and by a digest of the text; equal rows come back as often as they came).
-Empty benchmark: nothing is hit. An item without words has no window. Extra columns are left aside.
+Empty benchmark: nothing is hit. An item without words has no window. Extra columns, of any name, are left aside by
+`decontaminate` and `report` and kept by `remove`. Empty table: no rows. Overlapping windows count a word once.
 Long texts cost time in proportion to their words; no row ever holds more than one text's words.
 """
 
@@ -16,11 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import fresh, materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: The benchmark's windows are broadcast up to this many; beyond it the probe becomes a shuffled join.
-MAX_BROADCAST_WINDOWS = 2_000_000
+#: What one broadcast slice of the benchmark's windows holds at most.
+SLICE_WINDOWS, SLICE_BYTES = 1_000_000, 128_000_000
+#: Documents to be removed are broadcast up to this many (an id and a digest each), and joined by a shuffle beyond.
+FEW = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -50,7 +57,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, digest of the text, n_words, hit word positions (0-based), items whose windows occur."""
     wins, lengths = benchmark_windows(benchmark, window)
-    n_wins = wins.count()
+    n, size = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("w_text") + F.size("items") * 24 + 64), F.lit(0))).first()
+    slices = max(1, -(-n // SLICE_WINDOWS), -(-size // SLICE_BYTES))
+    if slices > 1:
+        wins = materialise(wins)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     base = base.select("_id", F.md5(F.coalesce(F.col("_text"), F.lit("\0null")).cast("binary")).alias("_digest"), words(F.col("_text")).alias("_ws"))
     base = base.withColumn("_n", F.size("_ws"))
@@ -65,10 +75,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         k = F.when(this, F.lit(length)).otherwise(k)
     probe = step.withColumn("_pos", pos)
     probe = probe.select("_id", "_digest", "_n", "_pos", k.alias("_len"), h.alias("_hash"), "_ws")
-    small = F.broadcast(wins) if n_wins <= MAX_BROADCAST_WINDOWS else wins
-    hit = probe.join(small, (F.col("_hash") == F.col("w_hash")) & (F.col("_len") == F.col("w_len")), "left").filter("_pos < 0 or w_hash is not null")
     same = F.array_join(F.slice("_ws", F.col("_pos") + 1, F.greatest("_len", F.lit(1))), " ") == F.col("w_text")
-    hit = hit.select("_id", "_digest", "_n", "_pos", "_len", "items", F.when(F.col("_pos") < 0, F.lit(True)).otherwise(same).alias("_ok")).filter("_ok")
+
+    def hits(k: int) -> DataFrame:
+        """Verified hits in slice k; with the documents' own marker rows in the first."""
+        part = F.broadcast(wins if slices == 1 else wins.filter(F.pmod("w_hash", F.lit(slices)) == k))
+        found = probe.join(part, (F.col("_hash") == F.col("w_hash")) & (F.col("_len") == F.col("w_len")), "left").filter("_pos < 0 or w_hash is not null" if k == 0 else "w_hash is not null")
+        return found.select("_id", "_digest", "_n", "_pos", "_len", "items", F.when(F.col("_pos") < 0, F.lit(True)).otherwise(same).alias("_ok")).filter("_ok")
+
+    hit = hits(0)
+    for k in range(1, slices):
+        hit = hit.unionByName(hits(k))
     grouped = hit.groupBy("_id", "_digest").agg(
         F.max("_n").alias("n_words"), F.count(F.when(F.col("_pos") < 0, 1)).alias("_rows"),
         F.collect_set(F.when(F.col("_pos") >= 0, F.struct("_pos", "_len"))).alias("_hits"), F.collect_set("items").alias("_items"))
@@ -88,9 +105,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which a benchmark window occurs."""
-    bad = decontaminate(docs, benchmark).filter(F.size("hit_positions") > 0).select(F.col("doc_id").alias("_bid"), F.col("text_digest").alias("_bdig")).distinct()
+    bid, bdig = fresh(docs, "bid", "bdig")
+    bad = decontaminate(docs, benchmark).filter(F.size("hit_positions") > 0).select(F.col("doc_id").alias(bid), F.col("text_digest").alias(bdig)).distinct()
+    bad = materialise(bad)
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
     digest = F.md5(F.coalesce(F.col("text"), F.lit("\0null")).cast("binary"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (digest == F.col("_bdig")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bid)) & (digest == F.col(bdig)), "left_anti")
 
 
 ORACLE = r"""
