@@ -345,16 +345,18 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of the links (a, b) but the roots; by alternating large and small stars."""
+    """(node, root) for every node of the links (a, b) but the roots; by alternating large and small stars.
+
+    A root of many links is a hot key of the joins; the other side has one row for it, so adaptive execution splits it.
+    """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     seen = None
     for _ in range(rounds):
-        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")).select("u", F.least("u", "m").alias("m"), "_rows")
-        large = join_unique(both.filter("v > u"), least, "u", "_rows", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
-        small = join_unique(large, low, "u", "_rows", total)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         old, edges = edges, materialise(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
