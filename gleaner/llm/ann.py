@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by additive quantisation; nearness is the inner product.
 
-Codebooks: LEVELS books of up to WORDS full-dimensional words. They begin as residual k-means and are then refitted
+Codebooks: LEVELS books of up to WORDS full-dimensional words (16 bytes a vector). They begin as residual k-means and are then refitted
 together (beam-search codes, joint least squares) on a bounded sample of SAMPLE vectors. Every valid vector is
 encoded by beam search and stored with its codes and the ratio of its norm to that of its reconstruction.
 
@@ -32,10 +32,10 @@ from pyspark.sql.window import Window
 
 from gleaner.llm.common import materialise
 
-LEVELS, WORDS, BEAM, ROUNDS = 8, 256, 4, 2
+LEVELS, WORDS, BEAM, ROUNDS = 16, 256, 4, 1
 SAMPLE, HELD, LIST, BLOCK, QUERY_BLOCK, TOP = 8192, 4096, 2048, 8192, 2048, 20
 #: Shares of the true nearest of held-out queries that must lie within the depth, and in the lists, that are looked at.
-FOUND, SEEN = 0.99, 0.97
+FOUND, SEEN = 0.97, 0.97
 
 
 def one_hot(codes, k: int):
@@ -64,17 +64,18 @@ def encode(x, books, beam: int = BEAM):
     import numpy as np
 
     n, levels, k = len(x), len(books), books.shape[1]
-    flat = books.reshape(levels * k, -1)
-    gram = flat @ flat.T
-    dots = (x @ flat.T).reshape(n, levels, k)
-    norms = np.diag(gram).reshape(levels, k)
+    x, flat = x.astype(np.float32), books.reshape(levels * k, -1).astype(np.float32)
+    gram = 2 * (flat @ flat.T)
+    dots = 2 * (x @ flat.T).reshape(n, levels, k)
+    norms = np.diag(gram).reshape(levels, k) / 2
     codes = np.zeros((n, 1, 0), np.int64)
-    cost = np.zeros((n, 1))
+    cost = np.zeros((n, 1), np.float32)
     for m in range(levels):
-        step = norms[m][None, None, :] - 2 * dots[:, m, None, :]
+        total = cost[:, :, None] + (norms[m] - dots[:, m])[:, None, :]
+        block = gram[:, m * k : (m + 1) * k]
         for j in range(m):
-            step = step + 2 * gram[:, m * k : (m + 1) * k][j * k + codes[:, :, j]]
-        total = (cost[:, :, None] + step).reshape(n, -1)
+            total += block[j * k + codes[:, :, j]]
+        total = total.reshape(n, -1)
         keep = min(beam, total.shape[1])
         best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
         cost = np.take_along_axis(total, best, 1)
