@@ -4,10 +4,13 @@ Trained by follow-the-regularised-leader with elastic-net penalties (L1 keeps th
 calibrated by one temperature on rows kept apart. n-grams of 1 to 3 letters, words framed by a space, are hashed
 into DIMS places; letters are lower-cased, everything else is a space. Document frequencies are counted over all
 rows that may be learned from; the weights are fitted on about SAMPLE of them a language (a documented bound of
-the classifier) for at most MAX_LANGS languages, the most frequent ones. Whole texts are read everywhere.
+the classifier), for all languages there are; the driver holds a few times DIMS x languages numbers. Whole texts are
+read everywhere.
 
 Defined results. Null texts and texts without a letter: `und`, score 0. No row to learn from: `und`, score 0 for
-all. Ties go to the language that sorts first. Null lang: not learned from. Repeated rows: each by itself.
+all. Ties go to the language that sorts first. Null lang: not learned from. Repeated rows and null ids: each row by
+itself. A long text costs time and memory in proportion to its length. Extra columns, of any name, are left aside.
+Empty table: no rows. A lang column of more than MOST_LANGS values is an error, as it can't name languages.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from gleaner.llm.common import bounded_sample, id_crc
 
 BITS, ORDERS = 14, (1, 2, 3)
 DIMS = 1 << BITS
-SAMPLE, MAX_LANGS, EPOCHS = 400, 256, 3
+SAMPLE, MOST_LANGS, EPOCHS = 400, 8192, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 MOD, OUT = 5, 0
 
@@ -135,7 +138,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(df[i], seen))], names=["place", "n"])
 
     counted = rows.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1 rows
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(by_lang) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
     if not by_lang:
         return None
     import numpy as np

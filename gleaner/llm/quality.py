@@ -8,7 +8,8 @@ Limit of what is learned from (a documented parameter, for the classifier alone)
 each with all its segments whatever its length.
 
 Defined results. Null and empty texts: the score at difference 0. Labels of one class or none: score 1 (only good),
-0 (only bad) or 0.5. Repeated rows and null ids: each row by itself. Extra columns are left aside.
+0 (only bad) or 0.5. A score of exactly THRESHOLD counts as good. Repeated rows and null ids: each row by itself. A long
+text costs time in proportion to its length. Extra columns, of any name, are left aside. Empty table: no rows.
 """
 
 from __future__ import annotations
