@@ -12,8 +12,9 @@ The terms are a parameter (`identity`: kinds of words that may stand for each ot
 languages). They count as themselves alone, not by their stems, so that a swap can level them.
 
 Limits of what is learned from (documented parameters, for the classifier alone): about SAMPLE labelled texts a
-class, of at most MAX_WORDS distinct words each, words in at least MIN_DF of them. One in APART of them sets the scale
-of the scores (Platt) and trains nothing else; of fewer than 200 * APART texts, all do both. All rows are scored, whole.
+class, of at most MAX_WORDS distinct words each, words in at least MIN_DF of them. The scale of the scores (Platt) is
+fitted on one in APART of them under weights that the others gave; then all give the weights. Of fewer than 200 * APART
+texts, all do both. All rows are scored, whole.
 
 Defined results. Null and empty texts: the score of the intercept. Labels of one class or none: a fixed score
 (1, 0, or 0 without any). Repeated rows and null ids: each row by itself. A score of exactly THRESHOLD counts as toxic.
@@ -86,19 +87,18 @@ def penalty(w, x, y, strength: float = SWAP):
     return strength * (p - q) ** 2, 2 * strength * (p - q) * (p * (1 - p) * x - q * (1 - q) * y)
 
 
-def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, epochs: int = EPOCHS) -> dict:
-    """Word weights and intercept from (distinct words joined by blanks, label). swap: strength of the penalty; 0 leaves the swapped copies out too."""
+def row_of(words, vocab: dict[str, int], terms) -> tuple:
+    """Places and values of a text's features, the intercept first."""
+    import numpy as np
+
+    pairs = sorted((vocab[w], u) for w, u in features(words, None, terms).items() if w in vocab)
+    return np.array([0, *(i for i, _ in pairs)], np.int32), np.array([1.0, *(u for _, u in pairs)], np.float32)
+
+
+def learn(rows: list[tuple[str, int]], identity, swap: float, epochs: int, rng) -> tuple:
+    """(places of the features, weights) by follow-the-regularised-leader with the counterfactual penalty."""
     import numpy as np
 
-    if len({y for _, y in rows}) < 2:
-        return {"fixed": float(rows[0][1]) if rows else 0.0}
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(rows))
-    apart = [rows[k] for k in order[::APART]]
-    if len(rows) >= 200 * APART and len({y for _, y in apart}) == 2:
-        rows = [rows[k] for i, k in enumerate(order) if i % APART]
-    else:
-        apart = rows
     labels = [y for _, y in rows]
     terms = frozenset(t for kind in identity for t in kind)
     others: dict[str, list[str]] = {}
@@ -109,12 +109,7 @@ def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, ep
     for ws, _ in rows:
         df.update(features(ws.split(), None, terms).keys())
     vocab = {w: i + 1 for i, w in enumerate(sorted({w for w, n in df.items() if n >= min(MIN_DF, max(1, len(rows) // 4))} | terms))}
-
-    def row(words) -> tuple:
-        pairs = sorted((vocab[w], u) for w, u in features(words, None, terms).items() if w in vocab)
-        return np.array([0, *(i for i, _ in pairs)], np.int32), np.array([1.0, *(u for _, u in pairs)], np.float32)
-
-    x = [row(ws.split()) for ws, _ in rows]  # compact arrays: the driver holds the sample's features
+    x = [row_of(ws.split(), vocab, terms) for ws, _ in rows]  # compact arrays: the driver holds the sample's features
     named = {k: set(ws.split()) for k, (ws, _) in enumerate(rows) if swap and not terms.isdisjoint(ws.split())}
     z, n = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     l1 = np.full(len(vocab) + 1, L1)
@@ -136,15 +131,32 @@ def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, ep
             i, v = x[k]
             update(i, v * (cost[labels[k]] * (logistic(weights(i) @ v) - labels[k])))
             if k in named:
-                j, u = row(swapped(named[k], others, rng))
+                j, u = row_of(swapped(named[k], others, rng), vocab, terms)
                 update(j, u * (cost[labels[k]] * (logistic(weights(j) @ u) - labels[k])))
                 both = np.union1d(i, j)
                 a, b = np.zeros(len(both)), np.zeros(len(both))
                 a[np.searchsorted(both, i)], b[np.searchsorted(both, j)] = v, u
                 update(both, penalty(weights(both), a, b, swap)[1])
-    w = weights(np.arange(len(z)))
-    raw = [float(w[i] @ u) for i, u in (row(ws.split()) for ws, _ in apart)]
-    a, b = fit_platt(raw, [y for _, y in apart], balanced=True)
+    return vocab, weights(np.arange(len(z)))
+
+
+def train(rows: list[tuple[str, int]], identity=IDENTITY, swap: float = SWAP, epochs: int = EPOCHS) -> dict:
+    """Word weights and intercept from (distinct words joined by blanks, label). swap: strength of the penalty; 0 leaves the swapped copies out too."""
+    import numpy as np
+
+    if len({y for _, y in rows}) < 2:
+        return {"fixed": float(rows[0][1]) if rows else 0.0}
+    rng = np.random.default_rng(11)
+    terms = frozenset(t for kind in identity for t in kind)
+    order = rng.permutation(len(rows))
+    apart, most = [rows[k] for k in order[::APART]], [rows[k] for i, k in enumerate(order) if i % APART]
+    enough = len(rows) >= 200 * APART and len({y for _, y in apart}) == len({y for _, y in most}) == 2
+    vocab, w = learn(most if enough else rows, identity, swap, epochs, rng)
+    held = apart if enough else rows
+    raw = [float(w[i] @ u) for i, u in (row_of(ws.split(), vocab, terms) for ws, _ in held)]
+    a, b = fit_platt(raw, [y for _, y in held], balanced=True)
+    if enough:
+        vocab, w = learn(rows, identity, swap, epochs, rng)
     return {"w": {t: float(a * w[i]) for t, i in vocab.items() if w[i]}, "b": float(a * w[0] + b), "terms": terms}
 
 
