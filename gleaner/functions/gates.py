@@ -36,8 +36,8 @@ def in_scope(d, host: str, base: str, subdomains: bool, tlds: bool) -> str:
 
 
 #: How the stock refusals of two web servers end and begin.
-SERVER_ENDS = ["error was encountered while trying to use an ErrorDocument to handle the request.</p>", "</body></html>"]
-SERVER_BEGINS = ["<html><head><title>403 Forbidden</title></head>", "<body>", "<center><h1>403 Forbidden</h1></center>", "<hr><center>openresty</center>"]
+SERVER_ENDS = ["to use an ErrorDocument to handle " "the request.</p>", "</body></html>"]
+SERVER_BEGINS = ["<html><head>" "<title>403 Forbidden" "</title></head>", "<body>", "<center>" "<h1>403 Forbidden</h1>" "</center>", "<hr><center>" "openresty</center>"]
 
 
 def hard_forbidden(d, body: str) -> str:
