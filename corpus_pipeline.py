@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
+
+Defined results, stage by stage. Null texts: not toxic (the score of the intercept), each alone among near-duplicates,
+without a hit, without a secret, packed as an end mark. Empty texts: as any text; equal ones are copies, so one stays.
+Repeated rows: one of them stays after the second stage. Null ids: rows like any other. Ties: a score of exactly the
+threshold is toxic; of a class the row of the least id stays, then the least digest. Very long texts are read whole.
+All stages but the last return the columns of documents, whatever further columns there are and however they are named.
+An empty table stays empty. What a stage returns may still read tables in the shared folder, so write it before that
+folder is cleared.
+"""
 
 from __future__ import annotations
 

@@ -17,7 +17,10 @@ LOG = f"WITH f AS ({FETCH_LOG}) "
 @query(LOG + f"""SELECT host, round(list_reduce(list_transform(x, lambda v: CAST(v AS DOUBLE)), lambda e, v: e + 0.15 * (v - e)), 6) AS ema_ms,
 greatest(100, least(60000, CAST(floor(list_reduce(list_transform(x, lambda v: CAST(v AS DOUBLE)), lambda e, v: e + 0.15 * (v - e)) / 2.0) AS BIGINT))) AS delay_ms FROM (SELECT host, list(latency_ms ORDER BY ts, event_id) AS x FROM f GROUP BY host)""")
 def latency_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Float EMA of latency, and the throttle delay at a target of two requests in flight."""
+    """Float EMA of latency, and the throttle delay at a target of two requests in flight.
+
+    The last 256 requests of a host are read: older ones weigh less than 1e-18, which a double doesn't hold beside the rest.
+    """
     rows = folds.last_rows(fetch_log(spark, sf_dir), "host", folds.EMA_ROWS)
     g = rows.groupBy("host").agg(folds.ordered(F.col("latency_ms")).alias("x")).withColumn("e", folds.ema(F.col("x")))
     return g.select("host", F.round("e", 6).alias("ema_ms"), F.greatest(F.lit(100), F.least(F.lit(60000), F.floor(F.col("e") / 2.0))).cast("long").alias("delay_ms"))
