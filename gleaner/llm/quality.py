@@ -4,8 +4,9 @@ A text is cut into blocks, each is compressed with either dictionary, and the di
 the text's length becomes a score through a logistic curve fitted on labelled texts that made no dictionary.
 Every block of a text counts, so a long text is scored as a whole and in bounded memory.
 
-Limit of what is learned from (a documented parameter, for the classifier alone): about SAMPLE labelled texts a class,
-each with all its segments whatever its length.
+Limit of what is learned from (documented parameters, for the classifier alone): about SAMPLE labelled texts a class; of
+each, SEGMENTS segments of SEGMENT bytes, evenly spread from its first to its last (all, if it has no more), so that a few
+very long texts don't fill the dictionaries. What is scored, and what calibrates, is read whole.
 
 Defined results. Null and empty texts: the score at difference 0. Labels of one class or none: score 1 (only good),
 0 (only bad) or 0.5. A score of exactly THRESHOLD counts as good. Repeated rows and null ids: each row by itself. A long
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import fit_platt, id_crc, labelled_sample, logistic
 
 SAMPLE = 2500
-DICT_BYTES, SEGMENT, BLOCK, LEVEL = 112_640, 1024, 2048, 3
+DICT_BYTES, SEGMENT, SEGMENTS, BLOCK, LEVEL = 112_640, 1024, 8, 2048, 3
 THRESHOLD = 0.5
 
 
@@ -34,7 +35,9 @@ def make_dictionary(texts: list[str]) -> bytes:
     pieces = []
     for t in texts:
         e = t.encode("utf-8", "surrogatepass")
-        pieces += [e[i : i + SEGMENT] for i in range(0, len(e), SEGMENT)]
+        n = -(-len(e) // SEGMENT)
+        chosen = range(n) if n <= SEGMENTS else [k * (n - 1) // (SEGMENTS - 1) for k in range(SEGMENTS)]
+        pieces += [e[i * SEGMENT : (i + 1) * SEGMENT] for i in chosen]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, pieces)) // 2)), pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
