@@ -109,3 +109,21 @@ def refined_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scripted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caller's own code on each row; null where it raises."""
     return sets.scripted(table(spark, sf_dir, "documents").select("doc_id", "text"), "result = len(text) * 2", "twice", "long").select("doc_id", "twice")
+
+
+@query(f"""WITH s AS (SELECT {html.signature(Duck, 'html')} AS signature FROM pages WHERE NOT {html.empty_body(Duck, 'html')}) SELECT 'signatures' AS what, count(DISTINCT signature) AS n FROM s UNION ALL SELECT 'after_repeats', count(DISTINCT signature) FROM s UNION ALL SELECT 'json_rows', count(*) FROM pages
+UNION ALL SELECT 'json_bytes', CAST(sum(strlen(html)) AS BIGINT) FROM pages""")
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures stored if absent (cacheable bodies alone, twice over), and pages written as JSON lines and read back."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "pages")
+    new = p.filter(f"not {html.empty_body(Spark, 'html')}").select(F.expr(html.signature(Spark, "html")).alias("signature")).filter("signature is not null")
+    out = []
+    for what in ("signatures", "after_repeats"):
+        sinks.append_unseen(new, f"{at}/signatures", "signature")
+        out.append((what, spark.read.parquet(f"{at}/signatures").count()))
+    sinks.write_json(p, f"{at}/json")
+    back = spark.read.schema(p.schema).json(f"{at}/json").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("b")).first()
+    return spark.createDataFrame([*out, ("json_rows", back["n"]), ("json_bytes", back["b"])], "what string, n long")
