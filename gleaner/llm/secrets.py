@@ -14,7 +14,7 @@ Defined results. Null text counts as empty: no spans. Repeated rows and null ids
 sorted by start, then kind in the order assign, access, hex, entropy_hex, entropy_base64, then end; spans of different
 kinds may overlap or be equal, and all are told. A window with exactly the least entropy of its class counts. A long
 text, a long candidate and many matches cost time in proportion to their length (telling which candidates a base span
-holds: candidates times base spans of one text). Extra columns, of any name, are kept by `scan` and `redact` and left
+holds: a binary search for each). Extra columns, of any name, are kept by `scan` and `redact` and left
 aside by `report`. Empty table: no rows.
 """
 
@@ -124,21 +124,37 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0) -> Col
     return F.when(text.rlike(pattern), F.transform(F.filter(zipped, lambda x: x["m"] != ""), span)).otherwise(empty)
 
 
+def inside(x: Column, spans: Column) -> Column:
+    """Whether one of the spans, which are sorted and don't overlap, holds x: by binary search for the last that begins no later."""
+    zero = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        going, below = acc["low"] < acc["high"], F.get(spans, mid)["start"] <= x["start"]
+        return F.struct(F.when(going & below, mid + 1).otherwise(acc["low"]).alias("low"), F.when(going & ~below, mid).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, zero, step, lambda acc: F.coalesce(F.get(spans, acc["low"] - 1)["end"] >= x["end"], F.lit(False)))
+
+
 def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = (), out: str = "secret_spans") -> DataFrame:
     """docs with `out`: array of (start, kind, end), sorted; kind is a position in KINDS."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     any_of = "|".join([ASSIGN, ACCESS, *(p for p, _, _ in CLASSES.values())])
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>)")
-    base = F.concat(F.filter(spans_of(t, ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= 6), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2))
-    maybe, known, hexes, base64 = fresh(docs, "maybe", "base", "hex", "b64")
-    some = docs.withColumn(maybe, t.rlike(any_of)).withColumn(known, F.when(F.col(maybe), base).otherwise(empty))
+    maybe, *base, hexes, base64 = fresh(docs, "maybe", "assign", "access", "base", "hex", "b64")
+    some = docs.withColumn(maybe, t.rlike(any_of))
+    for name, spans in zip(base, (F.filter(spans_of(t, ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= 6), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2)), strict=True):
+        some = some.withColumn(name, F.when(F.col(maybe), spans).otherwise(empty))
     allowed = [*ALLOW, *allow]
 
     def kept(kind: str) -> Column:
         pattern, alphabet, bits = CLASSES[kind]
 
         def keep(x: Column) -> Column:
-            ok = ~F.exists(F.col(known), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
+            ok = F.lit(True)
+            for name in base:
+                ok = ok & ~inside(x, F.col(name))
             for p in allowed:
                 ok = ok & ~x["m"].rlike(p)
             return F.when(ok, least_window_sum(x["m"], alphabet) <= most_sum(bits)).otherwise(F.lit(False))
@@ -147,10 +163,10 @@ def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = (), o
 
     some = some.withColumn(hexes, F.when(F.col(maybe), kept("entropy_hex")).otherwise(empty))
     # A base64 candidate that an entropy_hex span already holds isn't told again.
-    b64 = F.filter(kept("entropy_base64"), lambda x: ~F.exists(F.col(hexes), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    b64 = F.filter(kept("entropy_base64"), lambda x: ~inside(x, F.col(hexes)))
     some = some.withColumn(base64, F.when(F.col(maybe), b64).otherwise(empty))
-    every = F.transform(F.array_sort(F.concat(known, hexes, base64)), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return some.withColumn(out, every).drop(maybe, known, hexes, base64)
+    every = F.transform(F.array_sort(F.concat(*base, hexes, base64)), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return some.withColumn(out, every).drop(maybe, *base, hexes, base64)
 
 
 def joined(spans: Column) -> Column:

@@ -177,11 +177,28 @@ def test_long_candidates_and_many_matches_take_time_in_proportion(spark):
 
     r = random.Random(9)
     blob = base64.b64encode(bytes(r.randrange(256) for _ in range(750_000))).decode()
-    many = " ".join("%032x" % r.getrandbits(128) for _ in range(3000))
+    many = " ".join("%032x" % r.getrandbits(128) for _ in range(6000))
     docs = spark.createDataFrame([(1, "data:" + blob), (2, many)], "doc_id long, text string").repartition(1)
     secrets.report(docs.filter("doc_id < 0")).count()
     began = time.time()
     got = {x["doc_id"]: x for x in secrets.report(docs).collect()}
     assert time.time() - began < 60
-    assert got[1]["spans"] == f"entropy_base64:5:{5 + len(blob)}" and got[2]["n_hex"] == 3000
+    assert got[1]["spans"] == f"entropy_base64:5:{5 + len(blob)}" and got[2]["n_hex"] == 6000
     assert got[2]["base_sha256"] == hashlib.sha256(base_spans(many).encode()).hexdigest()
+
+
+def test_inside_is_what_a_plain_search_finds(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(200):
+        cuts = sorted(r.sample(range(40), 2 * r.randint(0, 6)))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        a = r.randrange(40)
+        rows.append((spans, (a, a + r.randint(1, 6))))
+    kind = "s array<struct<start:int,end:int>>, x struct<start:int,end:int>"
+    got = [x[0] for x in spark.createDataFrame(rows, kind).select(secrets.inside(F.col("x"), F.col("s"))).collect()]
+    assert got == [any(a <= x[0] and b >= x[1] for a, b in spans) for spans, x in rows]
