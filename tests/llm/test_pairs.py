@@ -121,6 +121,16 @@ def test_oversized_buckets_find_planted_pairs_at_the_recall_of_their_bits():
     assert len(found) >= 1990  # at distance 25, more than RECALL, which is for distance FAR
 
 
+def test_a_bucket_of_60000_rows_loses_no_planted_pair():
+    r = np.random.default_rng(5)
+    s = r.integers(0, 2**63, (60_000, 4)).astype(np.uint64)
+    s[58_000:] = turned(r, s[:2000], 20)
+    s[58_000:, 0] ^= np.uint64(1 << 63)  # far away in any order by the first bits
+    i, j = neardup.bucket_links(s, word=1)
+    assert len(s) <= neardup.CAP
+    assert {(k, 58_000 + k) for k in range(2000)} <= set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
+
+
 def test_a_hot_group_is_spread_and_keeps_its_outsiders(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CAP", 300)
     monkeypatch.setattr(neardup, "repeats", lambda k: 1)
