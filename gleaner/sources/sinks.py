@@ -54,7 +54,7 @@ def write_json(pages: DataFrame, path: str) -> None:
 
 
 def append_unseen(new: DataFrame, path: str, key: str = "url") -> None:
-    """Insert if absent, ignoring case: an anti join, then an append."""
+    """Insert if absent, ignoring case: an anti join, then an append. One writer at a time: what two write at once can come twice."""
     spark = new.sparkSession
     fresh = new.withColumn("_k", F.lower(key)).dropDuplicates(["_k"])
     try:
