@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ from gleaner.llm.common import discard, fresh, join_unique, materialise
 
 SHINGLE, SIMILAR, BITS, RECALL = 5, 0.8, 256, 0.99
 FAR = int(BITS * (1 - SIMILAR) + 1e-9)
-#: Of the 64 bits that are looked at first, so many may differ: 3.5 standard deviations beyond what FAR means there.
-NEAR64 = 24
+#: So many bits are compared first: unrelated rows differ in more than FAR of them, so all 256 are seldom looked at.
+FIRST = 160
+#: Keys that one task makes of its SimHashes: so many, about.
+KEYS = 1_000_000
 BUCKET, CAP, TILE, WIDE = 8192, 65_536, 256, 1024
 #: Sample that tells hot groups: those of SHOWN or more of its members.
 SAMPLE, SHOWN = 4096, 8
@@ -49,12 +52,10 @@ SIMS = [f"s{j}" for j in range(BITS // 64)]
 
 
 class WordHash(dict):
-    """64-bit hashes of words; a bounded table of those already met."""
+    """64-bit hashes of words, as bytes; a bounded table of those already met."""
 
-    def __missing__(self, word: str) -> int:
-        from hashlib import blake2b
-
-        h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    def __missing__(self, word: str) -> bytes:
+        h = blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         if len(self) > 500_000:
             self.clear()
         self[word] = h
@@ -64,13 +65,17 @@ class WordHash(dict):
 HASHES = WordHash()
 
 
-def mixed(x, seed: int):
+def mixed(x, *seeds: int):
+    """Hashes of x (64-bit words), a column for each seed."""
     import numpy as np
 
-    x = (x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & MASK)).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x[:, None] + np.array([(seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & MASK for seed in seeds], np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingles(text: str):
@@ -80,19 +85,21 @@ def shingles(text: str):
     words = WORD.findall(text.lower())
     if not words:
         return words, np.zeros(0, np.uint64)
-    a = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    a = np.frombuffer(b"".join(map(HASHES.__getitem__, words)), "<u8")
     n = min(SHINGLE, len(a))
     h = np.zeros(len(a) - n + 1, np.uint64)
     for i in range(n):
         h = h * np.uint64(0x100000001B3) + a[i : len(a) - n + 1 + i]
-    return words, np.unique(mixed(h, n))
+    h = mixed(h, n)[:, 0]
+    h.sort()
+    return words, h[np.append(True, h[1:] != h[:-1])]
 
 
 def planes(sh):
     """BITS hash bits of each shingle, as BITS / 8 bytes."""
     import numpy as np
 
-    return np.stack([mixed(sh, 100 + j) for j in range(BITS // 64)], 1).view(np.uint8).reshape(len(sh), BITS // 8)
+    return mixed(sh, *range(100, 100 + BITS // 64)).view(np.uint8).reshape(len(sh), BITS // 8)
 
 
 def simhash(sh):
@@ -100,10 +107,10 @@ def simhash(sh):
     import numpy as np
 
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(sh), 1 << 16):  # in parts: a very long text takes no more memory
-        part = planes(sh[at : at + (1 << 16)])
-        counts = np.bincount((part + (np.arange(BITS // 8, dtype=np.int64) << 8)).ravel(), minlength=BITS // 8 * 256).reshape(-1, 256)
-        ones += (counts @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)).ravel()
+    for at in range(0, len(sh), 4080):  # in parts: a very long text takes no more memory
+        part = np.unpackbits(planes(sh[at : at + 4080]), axis=1)
+        for start in range(0, len(part), 255):  # as many as a byte can count
+            ones += np.add.reduce(part[start : start + 255], axis=0, dtype=np.uint8)
     bits = 2 * ones > len(sh)
     if len(sh) % 2 == 0:
         ties = np.unpackbits(planes(np.bitwise_xor.reduce(sh)[None])[0]) == 1
@@ -192,21 +199,32 @@ def bucket_links(s, label=None, word: int = 0, seed: int = 1):
 
 
 def tiles(s, label, word: int):
-    """The same, for a bucket of any size, by comparing tile by tile; tiles of one class are passed over."""
+    """The same, for a bucket of any size, by comparing tile by tile; tiles of one class are passed over.
+
+    Of bits as +1 and -1 the inner product tells the distance; it is taken over FIRST bits, from `word` on. No pair is
+    lost by that: what differs in more than FAR of them differs in more than FAR of all.
+    """
     import numpy as np
 
     order = np.argsort(label, kind="stable")
     s, label, out = s[order], np.unique(label[order], return_inverse=True)[1], [np.zeros((2, 0), np.int64)]
-    h = np.ascontiguousarray(s[:, word])
+    first = np.roll(s, -word, axis=1)[:, : -(-FIRST // 64)]
+    signs = np.unpackbits(np.ascontiguousarray(first).view(np.uint8).reshape(len(s), -1), axis=1)[:, :FIRST].astype(np.float32)
+    signs *= 2
+    signs -= 1
+    products = np.empty(min(TILE, len(s)) * min(WIDE, len(s)), np.float32)
     for at in range(0, len(s), TILE):
         for start in range(at, len(s), WIDE):
             a, b = label[at : at + TILE], label[start : start + WIDE]
             if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
                 continue
-            near = (np.bitwise_count(h[at : at + TILE, None] ^ h[None, start : start + WIDE]) <= NEAR64) & (a[:, None] != b[None, :])
-            i, j = np.nonzero(near)
-            if len(i):
-                i, j = i + at, j + start
+            p = products[: len(a) * len(b)]
+            np.dot(signs[at : at + TILE], signs[start : start + WIDE].T, out=p.reshape(len(a), len(b)))
+            near = np.flatnonzero(p >= FIRST - 2 * FAR)
+            if len(near):
+                i, j = near // len(b) + at, near % len(b) + start
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
                 close = distance(s[i], s[j]) <= FAR
                 label, used = union(label, i[close], j[close])
                 out.append(np.stack([i[close][used], j[close][used]]))
@@ -325,7 +343,9 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
     def among(i: int, j: int) -> bool:
         return group[i] == group[j] and int(distance(leaders[i], leaders[j])) <= FAR
 
-    keyed = nodes.select("key").mapInArrow(keys, "bucket long, ball int, " + ", ".join(f"{c} long" for c in SIMS))
+    # Enough tasks that none has to spill the many keys it makes.
+    spread = nodes.select("key").repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, math.ceil(n * tables / KEYS)), "key")
+    keyed = spread.mapInArrow(keys, "bucket long, ball int, " + ", ".join(f"{c} long" for c in SIMS))
     slot = F.lit(0)
     if len(leaders):
         # Hot groups alone: their rows in a bucket beyond CAP are spread over slices, and all other rows of the bucket go to each.

@@ -131,6 +131,24 @@ def test_a_bucket_of_60000_rows_loses_no_planted_pair():
     assert {(k, 58_000 + k) for k in range(2000)} <= set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
 
 
+@pytest.mark.parametrize("word", range(4))
+def test_a_pair_that_differs_in_one_word_alone_is_linked(word):
+    s = np.random.default_rng(6).integers(0, 2**63, (300, 4)).astype(np.uint64)
+    s[299] = s[0]
+    s[299, word] ^= np.uint64(2**neardup.FAR - 1)  # all that may differ, in one of the words
+    for first in range(4):
+        assert [{*map(int, k)} for k in zip(*neardup.bucket_links(s, word=first), strict=True)] == [{0, 299}]
+
+
+@pytest.mark.parametrize("n", [1, 2, 254, 255, 256, 4080, 4081, 9000])
+def test_simhash_is_the_majority_of_each_bit(n):
+    sh = np.sort(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+    bits = np.unpackbits(neardup.planes(sh), axis=1).astype(int)
+    ties = np.unpackbits(neardup.planes(np.bitwise_xor.reduce(sh)[None])[0])
+    want = [int(2 * ones > n or 2 * ones == n and tie) for ones, tie in zip(bits.sum(axis=0), ties, strict=True)]
+    assert np.unpackbits(neardup.simhash(sh)).tolist() == want
+
+
 def test_a_hot_group_is_spread_and_keeps_its_outsiders(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CAP", 300)
     monkeypatch.setattr(neardup, "repeats", lambda k: 1)
