@@ -202,3 +202,16 @@ def test_inside_is_what_a_plain_search_finds(spark):
     kind = "s array<struct<start:int,end:int>>, x struct<start:int,end:int>"
     got = [x[0] for x in spark.createDataFrame(rows, kind).select(secrets.inside(F.col("x"), F.col("s"))).collect()]
     assert got == [any(a <= x[0] and b >= x[1] for a, b in spans) for spans, x in rows]
+
+
+def test_what_may_hold_a_secret_is_what_any_pattern_matches(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r, parts = random.Random(4), ["AKIA", "A" * 15, "A" * 16, "f0" * 12, "f0" * 11 + "f", "token", "PassWord", "api_key", "APIKEY", "Key", "secret", "=", ":", " ", "  ", '"', "'", "-", "_", "/", "+", "\n", "é", "ſ", "x", "word " * 3]
+    texts = ["", None, "token=", "token =x", "token: 'é", 'apikey" :  "k', "TOKEN\n=x", "AKIA" + "0" * 16, "akia" + "0" * 16, *("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(4000))]
+    pattern = "|".join([secrets.ASSIGN, secrets.ACCESS, secrets.HEX, *(p for p, _, _ in secrets.CLASSES.values())])
+    t = F.coalesce(F.col("t"), F.lit(""))
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(secrets.may_hold(t).alias("got"), t.rlike(pattern).alias("want")).collect()
+    assert all(x["got"] == x["want"] for x in got) and 100 < sum(x["want"] for x in got) < 3900
