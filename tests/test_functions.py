@@ -116,3 +116,15 @@ def test_sinks(spark, tmp_path):
     sinks.append_unseen(new, f"{tmp_path}/v")
     sinks.append_unseen(new, f"{tmp_path}/v")
     assert spark.read.parquet(f"{tmp_path}/v").count() == 2
+
+
+#: A reference cut off at the end of a text, as in titles of sf0.1.
+CUT = "<title>a &amp; b&amp</title><article><h1>a &amp; b&amp</h1><p>&am &copy; &lt;x&gt; &#x27;</p></article><nav><a href='/?a=1&copy=2&amp;b'>n</a></nav><script>x&&amp;y&amp</script>"
+
+
+def test_features_of_a_cut_reference(spark):
+    row = htmltree.features(spark.createDataFrame([(1, CUT), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
+    assert row[0]["title"] == "a & b&amp" and row[0]["n_links"] == 1 and row[1]["title"] is None
+    root = htmltree.tree(CUT.replace("a &amp", "﷐ &amp"), closed=True)
+    assert next(e for e in root.walk() if e.name == "script").children == ["x&&amp;y&amp"]
+    assert next(e for e in root.walk() if e.name == "title").children == ["﷐ & b&amp"]
