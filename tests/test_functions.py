@@ -128,3 +128,7 @@ def test_features_of_a_cut_reference(spark):
     root = htmltree.tree(CUT.replace("a &amp", "﷐ &amp"), closed=True)
     assert next(e for e in root.walk() if e.name == "script").children == ["x&&amp;y&amp"]
     assert next(e for e in root.walk() if e.name == "title").children == ["﷐ & b&amp"]
+
+
+def test_selected_cut_reference():
+    assert htmltree.select(CUT, {"t": ["title", "article h1"], "p": ["p"]}) == {"t": ["a & b&amp", "a & b&amp"], "p": ["&am © <x> '"]}
