@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def levels(steps: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def threshold_for(attempt: Column, base: float = 0.8, decay: float = 0.1) -> Column:
-    return F.greatest(F.lit(0.2), F.lit(base) - decay * attempt)
+    """Reckoned in decimals, so that 0.8 less 0.1 is 0.7 and a confidence of just that passes."""
+    exact = lambda x: F.lit(Decimal(str(x)))
+    return F.greatest(exact(0.2), exact(base) - exact(decay) * attempt.cast("decimal(19,0)")).cast("double")
 
 
 def reliability(good: Column, bad: Column) -> Column:

@@ -89,3 +89,9 @@ def test_query(spark, duck, name):
     assert sorted(df.columns) == order
     want = sorted(repr(tuple(r[columns.index(c)] for c in order)) for r in cursor.fetchall())
     assert sorted(repr(tuple(r[c] for c in order)) for r in rows) == want
+
+
+def test_thresholds_of_attempts_are_exact(spark):
+    rows = spark.createDataFrame([(k, (8 - k) / 10) for k in range(7)] + [(9, 0.2), (1, 0.69), (None, 0.2)], "attempt long, c double")
+    assert [r[0] for r in rows.select(steps.accepted(F.col("c"), F.col("attempt"))).collect()] == [True] * 8 + [False, True]
+    assert [r[0] for r in rows.limit(7).select(steps.threshold_for(F.col("attempt"))).collect()] == [0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2]
