@@ -132,3 +132,8 @@ def test_features_of_a_cut_reference(spark):
 
 def test_selected_cut_reference():
     assert htmltree.select(CUT, {"t": ["title", "article h1"], "p": ["p"]}) == {"t": ["a & b&amp", "a & b&amp"], "p": ["&am © <x> '"]}
+
+
+def test_text_of_a_cut_reference():
+    assert htmltree.to_text(CUT) == "a & b&amp\na & b&amp\n&am © <x> '\nn"
+    assert htmltree.to_text(CUT, markdown=True).startswith("a & b&\n# a & b&\n")
