@@ -137,3 +137,8 @@ def test_selected_cut_reference():
 def test_text_of_a_cut_reference():
     assert htmltree.to_text(CUT) == "a & b&amp\na & b&amp\n&am © <x> '\nn"
     assert htmltree.to_text(CUT, markdown=True).startswith("a & b&\n# a & b&\n")
+
+
+def test_paths_to_a_cut_reference(spark):
+    got = htmltree.xpath_selected(spark.createDataFrame([(1, CUT)], "page_id long, html string"), {"h": "//article/h1", "a": "//a/@href"})
+    assert {r["name"]: r["texts"] for r in got.collect()} == {"h": ["a & b&amp"], "a": ["/?a=1&copy=2&b"]}
