@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 
 #: Literals by vendor; the leftmost in a text wins, then the first in the list.
@@ -27,11 +29,26 @@ def quoted(mark: str) -> str:
     return "".join("[" + c + "]" if c in ".?|+*()!" else c for c in mark)
 
 
+def any_mark(marks: list[str]) -> str:
+    """A pattern of one group for the leftmost mark, at one place the first in the list. Most places are told by one letter; marks of the same first letter share its test."""
+    if any(a != b and b.startswith(a) for a in marks for b in marks):  # their order tells
+        return "(" + "|".join(map(quoted, marks)) + ")"
+    firsts = list(dict.fromkeys(m[0] for m in marks))
+    return f"(?=[{''.join(map(re.escape, firsts))}])(" + "|".join(f"{quoted(c)}(?:{'|'.join(quoted(m[1:]) for m in marks if m[0] == c)})" for c in firsts) + ")"
+
+
 def first_mark(d, text: str, marks: list) -> str:
-    """Vendor of the leftmost mark; null without one."""
+    """Vendor of the leftmost mark; null without one. Spark looks the found mark up in a map, so that the text is searched once."""
+    if d.name == "spark":
+        ordered = list(dict.fromkeys(m for _, ms in marks for m in sorted(ms, key=len, reverse=True)))
+        vendors: dict[str, str] = {}
+        for v, ms in marks:
+            for m in ms:
+                vendors.setdefault(m, v)
+        pairs = ", ".join("'" + m.replace("'", "\\'") + f"', '{v}'" for m, v in vendors.items())
+        return f"try_element_at(map({pairs}), {d.get(text, any_mark(ordered))})"
     found = d.get(text, "(" + "|".join(quoted(m) for _, ms in marks for m in sorted(ms, key=len, reverse=True)) + ")")
-    esc = lambda m: m.replace("'", "''") if d.name == "duck" else m.replace("'", "\\'")
-    return f"case {found} " + " ".join(f"when '{esc(m)}' then '{v}'" for v, ms in marks for m in ms) + " end"
+    return f"case {found} " + " ".join(f"when {d.lit(m)} then '{v}'" for v, ms in marks for m in ms) + " end"
 
 
 def from_url(d, url: str) -> str:

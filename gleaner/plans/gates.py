@@ -69,6 +69,8 @@ def _vendors(d, t: str) -> str:
     name = "CASE WHEN page_id % 11 = 0 THEN 'x-datadome' ELSE 'server' END"
     inner = _HEADS.format(map=f"map({name}, 'x')" if d is Spark else f"MAP([{name}], ['x'])", t=t)
     both = gates.vendor(d, "subject", "headers", "url", "body")
+    if d is Spark:  # the vendor once
+        return f"SELECT page_id, vendor, {gates.vendor_or_custom(d, 'vendor', 'url', 'body', ['/never/'], ['our own gate'])} AS vendor_or_custom FROM (SELECT *, {both} AS vendor FROM ({inner}) AS h) AS v"
     return f"SELECT page_id, {both} AS vendor, {gates.vendor_or_custom(d, both, 'url', 'body', ['/never/'], ['our own gate'])} AS vendor_or_custom FROM ({inner}) AS h"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import blocks, headers, html, htmltree, jsonx, robots, urls
 from gleaner.functions.dialect import Spark, column
+from gleaner.plans import gates as plans_gates
 from gleaner.sources import sinks, tables
 
 
@@ -142,3 +143,13 @@ def test_text_of_a_cut_reference():
 def test_paths_to_a_cut_reference(spark):
     got = htmltree.xpath_selected(spark.createDataFrame([(1, CUT)], "page_id long, html string"), {"h": "//article/h1", "a": "//a/@href"})
     assert {r["name"]: r["texts"] for r in got.collect()} == {"h": ["a & b&amp"], "a": ["/?a=1&copy=2&b"]}
+
+
+def test_block_marks_are_searched_once(spark):
+    """Each mark alone and after another's beginning gives its vendor, and the query has one search of the body and one of the URL."""
+    for make, marks in ((blocks.from_url, blocks.URL_MARKS), (blocks.from_body, blocks.BODY_MARKS)):
+        rows = [(m, v) for v, ms in marks for m in ms]
+        texts = spark.createDataFrame([(p + m + " challenges", v) for m, v in rows for p in ("", "cf-_DD", "a" * 90)] + [("cf-erro px-captch", None), (None, None)], "t string, v string")
+        assert texts.select("t", "v", F.expr(make(Spark, "t")).alias("got")).filter("not (v <=> got)").collect() == []
+    assert [blocks.any_mark(x) for x in (["ab", "a"], ["a", "ab"])] == ["(ab|a)", "(a|ab)"]
+    assert plans_gates._vendors(Spark, "pages").count("regexp_extract(") == 2
