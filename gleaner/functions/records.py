@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -166,8 +167,12 @@ def recall(records: DataFrame, query: str, k: int, least: float = 0.0, text: str
         return records.withColumn("relevance", F.lit(0.0)).limit(0)
     counts = {w: words.count(w) for w in set(words)}
     norm = sum(n * n for n in counts.values()) ** 0.5
-    bag = F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1))
-    per = records.withColumn("_bag", F.array_sort(bag))
+    low = F.lower(text)
+    if least > 0:  # rows without a word of the query have a relevance of 0
+        records = records.filter(reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in sorted(counts))))
+    bag = F.col("_bag")
+    per = records.withColumn("_bag", F.sort_array(F.regexp_extract_all(low, F.lit(r"(\w+)"), F.lit(1))))
+    dot = sum(((F.size(bag) - F.size(F.array_remove(bag, w))) * float(n) for w, n in sorted(counts.items())), F.lit(0.0))
     # Equal words lie together: a run that grows from n to n + 1 adds 2n + 1 to the sum of squares.
     zero = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
 
@@ -175,14 +180,10 @@ def recall(records: DataFrame, query: str, k: int, least: float = 0.0, text: str
         run = F.when(w == acc["word"], acc["run"]).otherwise(0.0)
         return F.struct(w.alias("word"), (run + 1.0).alias("run"), (acc["sum"] + 2.0 * run + 1.0).alias("sum"))
 
-    squares = F.aggregate("_bag", zero, step, lambda acc: acc["sum"])
-    dot = sum((F.size(F.filter("_bag", _equals(w))) * float(n) for w, n in sorted(counts.items())), F.lit(0.0))
+    squares = F.aggregate(bag, zero, step, lambda acc: acc["sum"])
     per = per.withColumn("relevance", F.coalesce(F.try_divide(dot, F.sqrt(squares) * norm), F.lit(0.0)))
-    return per.filter(F.col("relevance") >= least).orderBy(F.desc("relevance"), "id").limit(k).drop("_bag")
-
-
-def _equals(word: str):
-    return lambda x: x == word
+    # Of the k best, those that pass: the k best of those that pass. Spark would push a filter before the limit below both columns and reckon them once for each use.
+    return per.orderBy(F.desc("relevance"), "id").limit(k).filter(F.col("relevance") >= least).drop("_bag")
 
 
 def context_string(entries: DataFrame, most: int) -> DataFrame:

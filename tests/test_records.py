@@ -1,5 +1,7 @@
 """Record functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,24 @@ def test_recall(spark):
     assert [r["id"] for r in got] == [2, 1] and got[0]["relevance"] == pytest.approx(1.0)
     context = R.context_string(spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, "c")], "rank int, text string"), 8).first()[0]
     assert context == "aaa\nbbb"
+
+
+def test_recall_reckons_each_bag_once(spark, capsys):
+    texts = ["The of the", "the THE of x", "other lathe", "of", "no", "", None, "of of of the the", "x " * 50 + "the", "the,of;the_of the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").filter("text is not null")
+
+    def want(least):
+        from collections import Counter
+
+        q, out = Counter(["the", "of", "the"]), []
+        for i, t in enumerate(texts):
+            if t is not None:
+                n = Counter(w for w in re.findall("[a-z0-9_]+", t.lower()))
+                r = sum(n[w] * q[w] for w in q) / ((sum(x * x for x in n.values()) or 1) ** 0.5 * 5**0.5)
+                out.append((-r, i))
+        return [(i, pytest.approx(-r)) for r, i in sorted(out) if -r >= least][:6]
+
+    for least in (0.0, 0.1, 0.5):
+        assert [(r["id"], r["relevance"]) for r in R.recall(rows, "The of the", 6, least).collect()] == want(least)
+    R.recall(rows, "The of the", 6, 0.1).explain(True)
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_extract_all") == 1
