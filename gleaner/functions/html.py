@@ -69,7 +69,7 @@ def sniff(d, h: str) -> str:
 
 def empty_body(d, h: str) -> str:
     """Nothing worth keeping: empty, blank, a bare skeleton, or an empty body in under 2 KiB."""
-    t = d.sub(h, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    t = f"trim(both ' \\t\\n\\r\\u000c' from {h})" if d.name == "spark" else d.sub(h, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
     return f"({t} = '' or {t} in ('<html></html>', '<html><head></head><body></body></html>') or ({t} like '<%' and {d.bytes(t)} <= 2048 and {d.has(t, '(?is)<body[^>]*>[ \\t\\n\\r\\f]*</body>')}))"
 
 
@@ -97,6 +97,8 @@ def normalised(d, h: str) -> str:
 def signature(d, h: str) -> str:
     """md5 of the normalised text; null when empty (so empty pages aren't one another's copies)."""
     n = normalised(d, h)
+    if d.name == "spark":  # normalised once
+        return f"get(transform(array({n}), n -> case when n <> '' then md5(n) end), 0)"
     return f"case when {n} <> '' then md5({n}) end"
 
 

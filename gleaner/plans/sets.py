@@ -11,7 +11,7 @@ from gleaner.operators import sets
 from gleaner.plans.forms import _decoded
 from gleaner.plans.registry import query
 from gleaner.sources import sinks
-from gleaner.sources.tables import shared_dir, table
+from gleaner.sources.tables import materialise, shared_dir, table
 
 
 @query("""WITH s AS (SELECT min(url) AS url FROM pages GROUP BY lower(url)) SELECT 'seeded' AS stage, count(*) AS n, min(url) AS least FROM s UNION ALL SELECT 'again', count(*), min(url) FROM s
@@ -119,7 +119,8 @@ def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     at = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     p = table(spark, sf_dir, "pages")
-    new = p.filter(f"not {html.empty_body(Spark, 'html')}").select(F.expr(html.signature(Spark, "html")).alias("signature")).filter("signature is not null")
+    made = p.filter(f"not {html.empty_body(Spark, 'html')}").select(F.expr(html.signature(Spark, "html")).alias("signature"))
+    new = materialise(made).filter("signature is not null")  # made once, for both inserts and the filter
     out = []
     for what in ("signatures", "after_repeats"):
         sinks.append_unseen(new, f"{at}/signatures", "signature")

@@ -1,5 +1,7 @@
 """Literal cases of the URL, HTML, robots, JSON, header and sink functions."""
 
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,12 @@ def test_block_marks_are_searched_once(spark):
         assert texts.select("t", "v", F.expr(make(Spark, "t")).alias("got")).filter("not (v <=> got)").collect() == []
     assert [blocks.any_mark(x) for x in (["ab", "a"], ["a", "ab"])] == ["(ab|a)", "(a|ab)"]
     assert plans_gates._vendors(Spark, "pages").count("regexp_extract(") == 2
+
+
+def test_signatures_normalise_once(spark):
+    """Nulls, empty and script-only pages have none; the text is normalised once, also below a filter, and white space at the ends is trimmed without a pattern."""
+    rows = spark.createDataFrame([("<p src='x'>a",), ("<p>a",), ("<script>x</script>",), ("",), (None,)], "h string")
+    assert [r[0] for r in rows.select(F.expr(html.signature(Spark, "h"))).collect()] == [md5(b"<p>a").hexdigest()] * 2 + [None] * 3
+    assert html.signature(Spark, "h").count("regexp_replace") == 2 and "regexp_replace" not in html.empty_body(Spark, "h")
+    for text, empty in ((" \t\r\n\f<html></html>\f \n", True), ("f<html></html>", False), ("<html></html>u0c", False), ("\x0b<html></html>", False), (" \f", True), ("f", False)):
+        assert one(spark, html.empty_body, text) is empty
