@@ -164,4 +164,4 @@ def clean_html_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown form of each page; the text form is forms.text_form."""
-    return htmltree.transformed(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+    return htmltree.transformed(table(spark, sf_dir, "pages"), markdown=True)

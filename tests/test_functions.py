@@ -164,3 +164,24 @@ def test_signatures_normalise_once(spark):
     assert html.signature(Spark, "h").count("regexp_replace") == 2 and "regexp_replace" not in html.empty_body(Spark, "h")
     for text, empty in ((" \t\r\n\f<html></html>\f \n", True), ("f<html></html>", False), ("<html></html>u0c", False), ("\x0b<html></html>", False), (" \f", True), ("f", False)):
         assert one(spark, html.empty_body, text) is empty
+
+
+def test_pages_go_in_pieces(spark, monkeypatch):
+    """A worker's batches are cut by size, rows keep their page, nulls and pages without rows are fine, and a tree leaves no cycles."""
+    import gc
+
+    monkeypatch.setattr(htmltree, "PIECE", 50)
+    pages = spark.createDataFrame([(k, None if k % 7 == 0 else f"<h1>t{k}</h1>" + "<p>x</p>" * (k % 5)) for k in range(40)], "page_id long, html string").coalesce(1)
+    got = {r["page_id"]: r["markdown"] for r in htmltree.transformed(pages, markdown=True).collect()}
+    assert got == {k: "" if k % 7 == 0 else "\n".join([f"# t{k}"] + ["x"] * (k % 5)) for k in range(40)}
+    odd = htmltree.by_page(pages, ["page_id", "html"], "page_id long", lambda i, _: [(i,)] if i % 2 else [])
+    assert sorted(r[0] for r in odd.collect()) == list(range(1, 40, 2))
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(isinstance(x, htmltree.Element) for x in gc.get_objects())
+        htmltree.to_text("<div><p>a<b>c</b></div>" * 50, markdown=True)
+        htmltree.select("<div><p>a<b>c</b></div>" * 50, {"p": ["div p"]})
+        assert sum(isinstance(x, htmltree.Element) for x in gc.get_objects()) == before
+    finally:
+        gc.enable()
