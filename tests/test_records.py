@@ -64,3 +64,10 @@ def test_recall_reckons_each_bag_once(spark, capsys):
         assert [(r["id"], r["relevance"]) for r in R.recall(rows, "The of the", 6, least).collect()] == want(least)
     R.recall(rows, "The of the", 6, 0.1).explain(True)
     assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_extract_all") == 1
+
+
+def test_contexts_reckon_each_bag_once(spark, capsys):
+    from gleaner.plans import memory
+
+    memory.memory_context(spark, "/root/testdata/sf0.001").explain(True)
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_extract_all") == 1
